@@ -8,7 +8,7 @@ Spans are zero-based code points, end exclusive; matches of a kind are leftmost
 the pieces and the matches alternate, so their lengths give every span without leaving the engine's expressions.
 
 Null texts count as empty; texts without a finding get zeros and an empty string; repeated rows and rows with a
-null doc_id get their findings each; other columns are ignored; an empty table gives an empty result.
+null doc_id get their findings each; a ledger has at most one entry for a blob and a version; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 #: Kind, pattern, group whose length counts, least length, a literal that every match holds (or none). In order of rank.
 BASE = (
     ("assign", r"((?i)password|passwd|secret|token|api_?key)(?-i)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12, None),
@@ -65,14 +67,16 @@ def new_ledger(docs: DataFrame, ledger: DataFrame | None = None, version: str =
         first = first.join(ledger.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
     first = first.select(F.col("blob").alias("b"), F.col("doc_id").alias("d"))
     chosen = rows.join(first.hint("shuffle_hash"), (rows["blob"] == first["b"]) & rows["doc_id"].eqNullSafe(first["d"]), "left_semi")
-    return chosen.select("blob", F.lit(version).alias("rules"), find(F.col("text")).alias("found"))
+    return chosen.select("blob", F.lit(version).alias("rules"), find(F.col("text")).alias("found")).dropDuplicates(["blob"])
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULES_VERSION) -> tuple[DataFrame, DataFrame]:
-    """Findings for each row of docs (doc_id, blob, found), and the ledger's new entries, which the caller appends to its ledger."""
-    entries = new_ledger(docs, ledger, version)
+    """Findings for each row of docs (doc_id, blob, found), and the ledger's new entries, which the caller appends to its ledger.
+
+    The new entries are made once and stored before their use, so that no later filter can move the scan below the choice of blobs."""
+    entries = durable(new_ledger(docs, ledger, version))
     known = entries if ledger is None else entries.unionByName(ledger.where(F.col("rules") == version).select("blob", "rules", F.col("found").cast(_FOUND).alias("found")))
-    hits = known.where(F.size("found") > 0).select("blob", "found").groupBy("blob").agg(F.first("found").alias("found"))
+    hits = known.where(F.size("found") > 0).select("blob", "found")
     paths = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("blob"))
     return paths.join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("found", F.array().cast(_FOUND)).alias("found")), entries
 
