@@ -143,5 +143,6 @@ def judge(docs: DataFrame, threshold: float = 0.5, keep=None) -> DataFrame:
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that ``judge`` keeps, as they are."""
     names, row = docs.columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    measured = measure(docs.select(row, "text"))
-    return _judge(measured, threshold).where("kept").select("__row.*").select(*[f"`{c}`" for c in names])
+    # The row number keeps the optimiser from writing the counts' expressions into the filter, once for each use of them.
+    measured = measure(docs.select(row, "text")).withColumn("__number", F.monotonically_increasing_id())
+    return _judge(measured, threshold).where("kept and __number >= 0").select("__row.*").select(*[f"`{c}`" for c in names])
