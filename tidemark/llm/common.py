@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,3 +31,20 @@ def durable(df: DataFrame) -> DataFrame:
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of doc_id as text, modulo folds; null ids are in fold crc32('')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: once for each application, unless it is on their path anyway."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    known = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p] + [os.getcwd()] * sc.master.startswith("local")
+    if sc.applicationId in _shipped or root in {Path(p).resolve() for p in known}:
+        return
+    package = Path(tempfile.mkdtemp(prefix="tidemark-")).resolve() / "tidemark.zip"
+    with zipfile.ZipFile(package, "w") as out:
+        for f in sorted((root / "tidemark").rglob("*.py")):
+            out.write(f, f.relative_to(root))
+    sc.addPyFile(str(package))
+    _shipped.add(sc.applicationId)

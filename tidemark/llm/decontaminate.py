@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
 from .text import U64, blocks, grams, whole, words
 
 #: 1: the position counts; 0: it is ignored.
@@ -123,6 +124,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_matched: int = 10, d
     """A row for each document row and benchmark item that overlap: doc_id, item_id, start_word and end_word of the best
     overlap in the document, n_matched tokens, item_words, n_overlaps. Documents without a row are clean."""
     spark = docs.sparkSession
+    ship(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") > 0)
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-2 * size // block_bytes))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
 from .text import U64, blocks, mix
 
 BITS = 15
@@ -186,6 +187,7 @@ def _predict(shared):
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score (its probability) of each row."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     none = ~F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", none.alias("none")).mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")

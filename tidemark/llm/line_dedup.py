@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable
+from .common import durable, ship
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -99,6 +99,7 @@ def _texts(min_chars: int):
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadcast_keys: int = 1_000_000) -> DataFrame:
     """docs with its shared lines dropped from ``text``, and n_lines (before) and n_dropped of each row."""
     spark = docs.sparkSession
+    ship(spark)
     names = [n for n in docs.columns if n not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
     fields = {f.name: f for f in docs.schema.fields} | {"n_lines": T.StructField("n_lines", T.LongType()), "n_dropped": T.StructField("n_dropped", T.LongType())}
     schema = T.StructType([fields[n] for n in names])

@@ -15,6 +15,9 @@ A document's set holds its distinct 5-word shingles (with fewer words, the whole
    greater, smaller and equal. Pairs over five standard errors below the threshold go.
 5. The others are checked exactly on the sets of the whole texts.
 6. Components come from alternating large-star and small-star steps.
+7. Buckets that still hold several components are looked at again: every member outside a bucket's largest component
+   meets all others by sketch, in blocks of bounded size, and the likely new pairs are checked like the first. So two texts that
+   share a band value are compared unless other links join them anyway.
 
 Nulls and ties: null, empty or blank texts have no set and link with nothing; a null doc_id never
 links, its component is null and the row is kept; rows that repeat a doc_id get one row each, with
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, ship
 from .text import U64, blocks, grams, mix, signed, words
 
 WORDS = 5
@@ -160,8 +163,57 @@ def components(links: DataFrame) -> DataFrame:
         edges = durable(small.select("e.u", "e.v").where("u <> v").distinct())
 
 
-def links(docs: DataFrame, described: DataFrame, percent: int = 75, ring: int = 64) -> DataFrame:
-    """Verified links u > v between class representatives."""
+def _cells(threshold: float):
+    """Outsiders against members of one cell: pairs of different components that are likely to be similar."""
+    floor = threshold - 5 * np.sqrt(threshold * (1 - threshold) / REGISTERS)
+
+    def run(cell: pa.Table) -> pa.Table:
+        cell = cell.combine_chunks()
+        ids, comp, out, member = (cell.column(c).to_numpy(zero_copy_only=False) for c in ("id", "comp", "outsider", "member"))
+        size = cell.column("n_shingles").to_numpy().astype(float)
+        registers = np.ascontiguousarray(cell.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False)).view(np.uint16).reshape(len(ids), REGISTERS)
+        a, b, us, vs = np.flatnonzero(out), np.flatnonzero(member), [], []
+        for at in range(0, len(a), 32):
+            some = a[at : at + 32]
+            same = (registers[some][:, None, :] == registers[b][None, :, :]).sum(2)
+            i, j = np.nonzero((same >= (floor - 0.1) * REGISTERS) & (comp[some][:, None] != comp[b][None, :]))
+            i, j = some[i], b[j]
+            keep = likely_jaccard(registers[i], registers[j], size[i], size[j]) >= floor if len(i) else np.zeros(0, bool)
+            us.append(np.maximum(ids[i], ids[j])[keep])
+            vs.append(np.minimum(ids[i], ids[j])[keep])
+        empty = [np.zeros(0, np.int64)]
+        return pa.table({"id": pa.array(np.concatenate(us or empty)), "centre": pa.array(np.concatenate(vs or empty))})
+
+    return run
+
+
+def leftovers(reps: DataFrame, buckets: DataFrame, roots: DataFrame, percent: int, cell: int = 1024) -> DataFrame:
+    """Likely pairs of different components that share a bucket. A bucket's largest component needs no comparing with itself; all its other
+    members, the outsiders, meet every member. Both sides are dealt into blocks of about ``cell`` rows, so that no task holds more than two."""
+    member = buckets.join(roots, buckets["id"] == roots["u"], "left").select("id", "band", "value", F.coalesce("root", "id").alias("comp"))
+    held = member.groupBy("band", "value", "comp").agg(F.count("*").alias("k"))
+    mixed = held.groupBy("band", "value").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("comp", "k").alias("main"), F.count("*").alias("comps")).where("comps > 1 and n > 2")
+    blocks_of = lambda n: F.ceil(n / float(cell)).cast("int")
+    rows = member.join(mixed, ["band", "value"]).select("id", "band", "value", "comp", (F.col("comp") != F.col("main")).alias("outsider"), blocks_of(F.col("n") - F.col("most")).alias("ni"), blocks_of(F.col("n")).alias("nj"))
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit("cell")), n).cast("int")
+    place = lambda i, j, out: F.struct(i.alias("i"), j.alias("j"), F.lit(out).alias("outsider"), F.lit(not out).alias("member"))
+    zero = F.lit(0)
+    as_member = F.transform(F.sequence(zero, F.col("ni") - 1), lambda i: place(i, own(F.col("nj")), False))
+    as_outsider = F.when(F.col("outsider"), F.transform(F.sequence(zero, F.col("nj") - 1), lambda j: place(own(F.col("ni")), j, True))).otherwise(F.array().cast("array<struct<i:int,j:int,outsider:boolean,member:boolean>>"))
+    dealt = rows.select("id", "band", "value", "comp", F.explode(F.concat(as_member, as_outsider)).alias("c")).select("id", "band", "value", "comp", "c.*")
+    return dealt.join(reps, "id").groupBy("band", "value", "i", "j").applyInArrow(_cells(percent / 100), "id long, centre long").distinct()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs id, centre that are similar by their whole texts' sets, as u, v."""
+    one = pairs.join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text_a")), "id")
+    two = one.join(docs.select(F.col("doc_id").alias("centre"), F.col("text").alias("text_b")), "centre")
+    return two.select("id", "centre", "text_a", "text_b").mapInArrow(_check(percent), "u long, v long")
+
+
+def components_of(docs: DataFrame, described: DataFrame, percent: int = 75, ring: int = 64, broadcast_pairs: int = 200_000) -> DataFrame:
+    """u, root of the class representatives that link to a smaller one."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = described.where("s1 is not null and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"))
     reps = described.join(first, ["s1", "s2", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "bands")
     buckets = reps.select("id", F.posexplode("bands").alias("band", "value"))
@@ -173,16 +225,25 @@ def links(docs: DataFrame, described: DataFrame, percent: int = 75, ring: int =
     b = reps.select(F.col("id").alias("centre"), F.col("n_shingles").alias("nb"), F.col("bands").alias("bb"))
     pairs = pairs.join(a, "id").join(b, "centre").select("id", "centre", "na", "nb", "ba", "bb")
     pairs = durable(pairs.mapInArrow(_likely(percent / 100), "id long, centre long"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    one = pairs.join(text.select(F.col("doc_id").alias("id"), F.col("text").alias("text_a")), "id")
-    two = one.join(text.select(F.col("doc_id").alias("centre"), F.col("text").alias("text_b")), "centre")
-    return two.select("id", "centre", "text_a", "text_b").mapInArrow(_check(percent), "u long, v long")
+    links = durable(_verified(docs, pairs, percent))
+    roots = components(links)
+
+    more = leftovers(reps, buckets, roots, percent).join(pairs, ["id", "centre"], "left_anti")
+    more = durable(more)
+    n = more.count()
+    if not n:
+        return roots
+    if n <= broadcast_pairs:  # then few texts are concerned, and the others need not move
+        ids = more.select(F.explode(F.array("id", "centre")).alias("doc_id")).distinct()
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    return components(links.unionByName(_verified(docs, more, percent)))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, ring: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text); linked: 100 * intersection >= percent * union."""
+    ship(docs.sparkSession)
     described = durable(describe(docs))
-    roots = components(links(docs, described, percent, ring))
+    roots = components_of(docs, described, percent, ring)
     classes = described.where("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("u"))
     classes = classes.join(roots, "u", "left").select("s1", "s2", F.coalesce("root", "u").alias("component"))
     rows = described.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")

@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 _encoders: dict[tuple[str, str], object] = {}
 
 
@@ -113,5 +115,6 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: i
     32-bit), doc_tokens (with the end id), sequence_id, offset in the sequence, and ids if asked for.
 
     vocabulary: a tokenizers file, present on every executor. ranks: the same vocabulary as tiktoken ranks, or None."""
+    ship(docs.sparkSession)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack(vocabulary, ranks, capacity, end, block_tokens, with_ids), schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, ship
 from .text import U64, blocks, grams, mix, words
 
 STATS = ("log_words", "mean_length", "long_words", "short_words", "upper", "digits", "symbols", "pipes", "shouts", "stops", "spaces", "log_lines", "line_length", "repeat_lines", "repeat_words", "distinct_words", "other_bytes")
@@ -168,6 +168,7 @@ def _scores(shared):
 def fit(docs: DataFrame, labels: DataFrame, width: int = 256, gamma: float = 0.04, ridge: float = 1.0, bins: int = 400, seed: int = 3) -> Model:
     """labels: doc_id, label (0, 1). A quarter of the labelled rows, by hash, calibrates; the others give the normal equations."""
     spark = docs.sparkSession
+    ship(spark)
     labels = labels.where("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
     pairs = docs.select("doc_id", "text").join(labels.hint("shuffle_hash"), "doc_id")
     rows = pairs.select("doc_id", "text", "label").mapInArrow(_with_label, "doc_id long, stats array<double>, label int")
@@ -211,5 +212,6 @@ def _with_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of each row."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scores(shared), "doc_id long, score double")

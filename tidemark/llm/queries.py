@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, near_dup, packing, quality_model, quality_rules, secrets, sharding, toxicity
+from . import decontaminate, langid, line_dedup, near_dup, oracles, packing, quality_model, quality_rules, secrets, sharding, toxicity
 from .common import durable, fold, table
 
 
@@ -64,4 +64,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_toxicity, op4_quality_classifier, op5_near_dedup, op6_packing, op7_sharding, op8_language_id, op9_secret_scan, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
 from .text import PUNCTUATION, U64, blocks, grams, whole, words
 
 BITS = 22
@@ -160,6 +161,7 @@ def _score(shared):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of each row."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(shared), "doc_id long, score double")
 
