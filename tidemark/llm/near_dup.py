@@ -16,8 +16,8 @@ A document's set holds its distinct 5-word shingles (with fewer words, the whole
 5. The others are checked exactly on the sets of the whole texts.
 6. Components come from alternating large-star and small-star steps.
 7. Buckets that still hold several components are looked at again: every member outside a bucket's largest component
-   meets all others by sketch, in blocks of bounded size, and the likely new pairs are checked like the first. So two texts that
-   share a band value are compared unless other links join them anyway.
+   is checked exactly against all its members, in blocks of bounded size. So two texts that share a band value are
+   compared unless other links join them anyway.
 
 Nulls and ties: null, empty or blank texts have no set and link with nothing; a null doc_id never
 links, its component is null and the row is kept; rows that repeat a doc_id get one row each, with
@@ -163,45 +163,53 @@ def components(links: DataFrame) -> DataFrame:
         edges = durable(small.select("e.u", "e.v").where("u <> v").distinct())
 
 
-def _cells(threshold: float):
-    """Outsiders against members of one cell: pairs of different components that are likely to be similar."""
-    floor = threshold - 5 * np.sqrt(threshold * (1 - threshold) / REGISTERS)
+def _cells(percent: int):
+    """Outsiders against members of one cell, on the sets of their whole texts: a link for each two components that have one."""
 
     def run(cell: pa.Table) -> pa.Table:
         cell = cell.combine_chunks()
-        ids, comp, out, member = (cell.column(c).to_numpy(zero_copy_only=False) for c in ("id", "comp", "outsider", "member"))
-        size = cell.column("n_shingles").to_numpy().astype(float)
-        registers = np.ascontiguousarray(cell.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False)).view(np.uint16).reshape(len(ids), REGISTERS)
-        a, b, us, vs = np.flatnonzero(out), np.flatnonzero(member), [], []
-        for at in range(0, len(a), 32):
-            some = a[at : at + 32]
-            same = (registers[some][:, None, :] == registers[b][None, :, :]).sum(2)
-            i, j = np.nonzero((same >= (floor - 0.1) * REGISTERS) & (comp[some][:, None] != comp[b][None, :]))
-            i, j = some[i], b[j]
-            keep = likely_jaccard(registers[i], registers[j], size[i], size[j]) >= floor if len(i) else np.zeros(0, bool)
-            us.append(np.maximum(ids[i], ids[j])[keep])
-            vs.append(np.minimum(ids[i], ids[j])[keep])
-        empty = [np.zeros(0, np.int64)]
-        return pa.table({"id": pa.array(np.concatenate(us or empty)), "centre": pa.array(np.concatenate(vs or empty))})
+        batch = cell.to_batches()[0]
+        sets = [s for _, data, offsets in blocks(batch, "text") for s in shingle_sets(data, offsets)]
+        ids, comp, out, member = (cell.column(c).to_numpy() for c in ("doc_id", "comp", "outsider", "member"))
+        size = np.array([len(s) for s in sets])
+        m = np.flatnonzero(member & (size > 0))
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        if len(m):
+            vocabulary, place = np.unique(np.concatenate([sets[i] for i in m]), return_inverse=True)
+            starts = np.append(0, np.cumsum(size[m])[:-1])
+            for u in np.flatnonzero(out):
+                own = np.zeros(len(vocabulary), bool)
+                at = np.minimum(np.searchsorted(vocabulary, sets[u]), len(vocabulary) - 1)
+                own[at[vocabulary[at] == sets[u]]] = True
+                both = np.add.reduceat(own[place], starts, dtype=np.int64)
+                hit = (100 * both >= percent * (size[u] + size[m] - both)) & (comp[m] != comp[u])
+                for v in m[hit]:
+                    found.setdefault((min(comp[u], comp[v]), max(comp[u], comp[v])), (max(ids[u], ids[v]), min(ids[u], ids[v])))
+        us, vs = zip(*found.values(), strict=True) if found else ((), ())
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 
 
-def leftovers(reps: DataFrame, buckets: DataFrame, roots: DataFrame, percent: int, cell: int = 1024) -> DataFrame:
-    """Likely pairs of different components that share a bucket. A bucket's largest component needs no comparing with itself; all its other
-    members, the outsiders, meet every member. Both sides are dealt into blocks of about ``cell`` rows, so that no task holds more than two."""
-    member = buckets.join(roots, buckets["id"] == roots["u"], "left").select("id", "band", "value", F.coalesce("root", "id").alias("comp"))
-    held = member.groupBy("band", "value", "comp").agg(F.count("*").alias("k"))
-    mixed = held.groupBy("band", "value").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("comp", "k").alias("main"), F.count("*").alias("comps")).where("comps > 1 and n > 2")
-    blocks_of = lambda n: F.ceil(n / float(cell)).cast("int")
-    rows = member.join(mixed, ["band", "value"]).select("id", "band", "value", "comp", (F.col("comp") != F.col("main")).alias("outsider"), blocks_of(F.col("n") - F.col("most")).alias("ni"), blocks_of(F.col("n")).alias("nj"))
+def leftover_links(docs: DataFrame, reps: DataFrame, buckets: DataFrame, roots: DataFrame, percent: int, cell: int = 400_000, broadcast_ids: int = 500_000) -> DataFrame:
+    """Links u > v of different components that share a bucket. A bucket's largest component needs no comparing with itself; all its other
+    members, the outsiders, meet every member. Both sides are dealt into blocks of about ``cell`` shingles, so that no task holds more than two."""
+    member = buckets.join(roots, buckets["id"] == roots["u"], "left").select("id", "n_shingles", "band", "value", F.coalesce("root", "id").alias("comp"))
+    held = member.groupBy("band", "value", "comp").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("size"))
+    mixed = held.groupBy("band", "value").agg(F.sum("k").alias("n"), F.sum("size").alias("size"), F.max_by("size", "k").alias("most"), F.max_by("comp", "k").alias("main"), F.count("*").alias("comps")).where("comps > 1 and n > 2")
+    blocks_of = lambda n: F.greatest(F.ceil(n / float(cell)), F.lit(1)).cast("int")
+    rows = member.join(mixed, ["band", "value"]).select("id", "band", "value", "comp", (F.col("comp") != F.col("main")).alias("outsider"), blocks_of(F.col("size") - F.col("most")).alias("ni"), blocks_of(F.col("size")).alias("nj"))
     own = lambda n: F.pmod(F.xxhash64("id", F.lit("cell")), n).cast("int")
-    place = lambda i, j, out: F.struct(i.alias("i"), j.alias("j"), F.lit(out).alias("outsider"), F.lit(not out).alias("member"))
-    zero = F.lit(0)
-    as_member = F.transform(F.sequence(zero, F.col("ni") - 1), lambda i: place(i, own(F.col("nj")), False))
-    as_outsider = F.when(F.col("outsider"), F.transform(F.sequence(zero, F.col("nj") - 1), lambda j: place(own(F.col("ni")), j, True))).otherwise(F.array().cast("array<struct<i:int,j:int,outsider:boolean,member:boolean>>"))
-    dealt = rows.select("id", "band", "value", "comp", F.explode(F.concat(as_member, as_outsider)).alias("c")).select("id", "band", "value", "comp", "c.*")
-    return dealt.join(reps, "id").groupBy("band", "value", "i", "j").applyInArrow(_cells(percent / 100), "id long, centre long").distinct()
+    place = lambda i, j, out, member: F.struct(i.alias("i"), j.alias("j"), out.alias("outsider"), F.lit(member).alias("member"))
+    zero, single = F.lit(0), (F.col("ni") == 1) & (F.col("nj") == 1)
+    as_member = F.transform(F.sequence(zero, F.col("ni") - 1), lambda i: place(i, own(F.col("nj")), F.lit(False), True))
+    as_outsider = F.transform(F.sequence(zero, F.col("nj") - 1), lambda j: place(own(F.col("ni")), j, F.lit(True), False))
+    cells = F.when(single, F.array(place(zero, zero, F.col("outsider"), True))).when(F.col("outsider"), F.concat(as_member, as_outsider)).otherwise(as_member)
+    dealt = durable(rows.select(F.col("id").alias("doc_id"), "band", "value", "comp", F.explode(cells).alias("c")).select("doc_id", "band", "value", "comp", "c.*"))
+    ids = dealt.select("doc_id").distinct()
+    if ids.count() <= broadcast_ids:  # then the other documents' texts need not move
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    return dealt.join(docs, "doc_id").groupBy("band", "value", "i", "j").applyInArrow(_cells(percent), "u long, v long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -211,12 +219,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return two.select("id", "centre", "text_a", "text_b").mapInArrow(_check(percent), "u long, v long")
 
 
-def components_of(docs: DataFrame, described: DataFrame, percent: int = 75, ring: int = 64, broadcast_pairs: int = 200_000) -> DataFrame:
+def components_of(docs: DataFrame, described: DataFrame, percent: int = 75, ring: int = 64) -> DataFrame:
     """u, root of the class representatives that link to a smaller one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = described.where("s1 is not null and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"))
     reps = described.join(first, ["s1", "s2", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "bands")
-    buckets = reps.select("id", F.posexplode("bands").alias("band", "value"))
+    buckets = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "value"))
     stars = buckets.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("id").alias("c1"), F.min_by("id", F.xxhash64("id", "band")).alias("c2")).where("n > 1")
     met = buckets.join(stars, ["band", "value"])
     pairs = met.select("id", F.explode(F.when(F.col("n") <= ring, F.array_distinct(F.array("c1", "c2"))).otherwise(F.array("c1"))).alias("centre")).where("id <> centre")
@@ -228,15 +236,8 @@ def components_of(docs: DataFrame, described: DataFrame, percent: int = 75, ring
     links = durable(_verified(docs, pairs, percent))
     roots = components(links)
 
-    more = leftovers(reps, buckets, roots, percent).join(pairs, ["id", "centre"], "left_anti")
-    more = durable(more)
-    n = more.count()
-    if not n:
-        return roots
-    if n <= broadcast_pairs:  # then few texts are concerned, and the others need not move
-        ids = more.select(F.explode(F.array("id", "centre")).alias("doc_id")).distinct()
-        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    return components(links.unionByName(_verified(docs, more, percent)))
+    more = durable(leftover_links(docs, reps, buckets, roots, percent).distinct())
+    return components(links.unionByName(more)) if not more.isEmpty() else roots
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, ring: int = 64) -> DataFrame:
