@@ -147,20 +147,22 @@ def _rows(batch: pa.RecordBatch, column: str) -> Iterator[tuple]:
         yield from blocks(batch.slice(at, 64), column, most=1 << 60)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """u, root for every id u that links to a smaller one; links has u > v. Alternates large-star and small-star until nothing changes."""
-    edges, state = durable(links.select("u", "v").distinct()), None
-    while True:
+def contract(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """Edges u > v with the same components as the given ones, after alternating large-star and small-star steps: until nothing changes, which
+    leaves one edge from each id to its component's smallest, or ``most`` times."""
+    edges, state, rounds = durable(edges.select("u", "v").distinct()), None, 0
+    while most is None or rounds < most:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
-            return edges.select("u", F.col("v").alias("root"))
-        state = now
+            break
+        state, rounds = now, rounds + 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = durable(small.select("e.u", "e.v").where("u <> v").distinct())
+    return edges
 
 
 def _cells(percent: int):
@@ -233,11 +235,11 @@ def components_of(docs: DataFrame, described: DataFrame, percent: int = 75, ring
     b = reps.select(F.col("id").alias("centre"), F.col("n_shingles").alias("nb"), F.col("bands").alias("bb"))
     pairs = pairs.join(a, "id").join(b, "centre").select("id", "centre", "na", "nb", "ba", "bb")
     pairs = durable(pairs.mapInArrow(_likely(percent / 100), "id long, centre long"))
-    links = durable(_verified(docs, pairs, percent))
-    roots = components(links)
-
-    more = durable(leftover_links(docs, reps, buckets, roots, percent).distinct())
-    return components(links.unionByName(more)) if not more.isEmpty() else roots
+    # Two rounds join up nearly all of each component. What they leave apart is at worst compared again below.
+    edges = contract(_verified(docs, pairs, percent), most=2)
+    roots = edges.groupBy("u").agg(F.min("v").alias("root"))
+    more = leftover_links(docs, reps, buckets, roots, percent)
+    return contract(edges.unionByName(more)).select("u", F.col("v").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, ring: int = 64) -> DataFrame:
