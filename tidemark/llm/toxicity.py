@@ -72,10 +72,10 @@ class Model:
 
 
 def sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+    return 1 / (1 + np.exp(-np.clip(np.asarray(x, float), -500, 500)))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.5, l2: float = 0.1, epochs: int = 4, seed: int = 5) -> Model:
+def train(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1, epochs: int = 4, seed: int = 5) -> Model:
     """FTRL-proximal over rows of distinct buckets; labels 0 or 1."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
