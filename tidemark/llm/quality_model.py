@@ -5,9 +5,12 @@ projections, whose inner products approximate a Gaussian kernel. Each partition
 (X'X and X'y), the sums are added up by matrix row, and the ridge solution follows from them; its size doesn't depend
 on the data. Scores are calibrated by isotonic regression on counts in score bins, of labelled rows that the fit left aside.
 
+``fit_and_score`` reads the texts once: it keeps each document's statistics (under 150 bytes) in the shared folder, joins
+those with the labels to fit, and scores them. No text is shuffled.
+
 All labelled rows that aren't held out are used. Null, empty and blank texts have statistics too (zeros) and get a score; labels that are
-null or without a document are ignored; labels all alike give their smoothed share as every score; repeated rows are scored each. Only
-doc_id and text of the documents are read.
+null or without a document are ignored, and a repeated label of a document counts once; labels all alike give their smoothed share as every
+score; repeated rows are scored each. Only doc_id and text of the documents are read.
 """
 
 from __future__ import annotations
@@ -159,19 +162,27 @@ def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
-            for part, data, offsets in blocks(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(statistics(data, offsets)))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))), pa.float64())], names=["doc_id", "score"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, width: int = 256, gamma: float = 0.04, ridge: float = 1.0, bins: int = 400, seed: int = 3) -> Model:
-    """labels: doc_id, label (0, 1). A quarter of the labelled rows, by hash, calibrates; the others give the normal equations."""
-    spark = docs.sparkSession
-    ship(spark)
-    labels = labels.where("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
-    pairs = docs.select("doc_id", "text").join(labels.hint("shuffle_hash"), "doc_id")
-    rows = pairs.select("doc_id", "text", "label").mapInArrow(_with_label, "doc_id long, stats array<double>, label int")
+def describe(docs: DataFrame) -> DataFrame:
+    """doc_id and stats of each row."""
+    ship(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_describe, "doc_id long, stats array<double>")
+
+
+def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
+    """The model of the documents' statistics; see ``fit_described``."""
+    return fit_described(describe(docs), labels, **options)
+
+
+def fit_described(described: DataFrame, labels: DataFrame, width: int = 256, gamma: float = 0.04, ridge: float = 1.0, bins: int = 400, seed: int = 3) -> Model:
+    """described: doc_id, stats. labels: doc_id, label (0, 1). A quarter of the labelled rows, by hash, calibrates; the others give the normal equations."""
+    spark = described.sparkSession
+    labels = labels.where("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label")).distinct()
+    rows = described.join(labels.hint("shuffle_hash"), "doc_id").select("doc_id", "stats", "label")
     rows = durable(rows.withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(4)) == 0))
     counts = dict(rows.groupBy("label").count().collect())
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
@@ -202,16 +213,18 @@ def fit(docs: DataFrame, labels: DataFrame, width: int = 256, gamma: float = 0.0
     return model
 
 
-def _with_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, data, offsets in blocks(batch, "text"):
-            s = statistics(data, offsets)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * s.shape[1]), pa.array(s.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists, part.column(2)], names=["doc_id", "stats", "label"])
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of each row."""
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scores(shared), "doc_id long, score double")
+    return score_described(describe(docs), model)
+
+
+def score_described(described: DataFrame, model: Model) -> DataFrame:
+    shared = described.sparkSession.sparkContext.broadcast(model)
+    return described.select("doc_id", "stats").mapInArrow(_scores(shared), "doc_id long, score double")
+
+
+def fit_and_score(docs: DataFrame, labels: DataFrame, **options) -> tuple[Model, DataFrame]:
+    """The model, and doc_id and score of each row, from one pass over the texts."""
+    described = durable(describe(docs))
+    model = fit_described(described, labels, **options)
+    return model, score_described(described, model)

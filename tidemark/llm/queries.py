@@ -29,8 +29,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = quality_model.fit(docs, toxicity.learnable(labels, "quality", fold(F.col("doc_id"), 5), 0))
-    scored = quality_model.score(docs, model)
+    _, scored = quality_model.fit_and_score(docs, toxicity.learnable(labels, "quality", fold(F.col("doc_id"), 5), 0))
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
