@@ -116,6 +116,33 @@ def test_sketch_estimates():
     assert (np.maximum(*parts) == near_dup.sketch(a, np.zeros(1000, int), 1)).mean() > 0.95  # registers merge
 
 
+def test_hits_come_whole_in_stretches():
+    """A phrase in every item, a document of many copies of an item: the stretches hold what one look-up would."""
+    import pyarrow as pa
+
+    shared = prose(5, 12)
+    items = [f"{shared} {prose(100 + i, 15)}" for i in range(30)]
+    index = decontaminate.Index(list(range(30)), items)
+    texts = [prose(6) + " " + shared, None, " ".join([items[3]] * 60), "", items[4]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1, 6), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    (_, data, offsets), = kernels.blocks(batch, "text")
+    w = kernels.words(data, offsets)
+    at_once, parts = list(index.hits(w, most=10**9)), list(index.hits(w, most=50))
+    assert len(at_once) == 1 and len(parts) == 3 and np.array_equal(np.concatenate(parts), at_once[0])
+    want = set()
+    for r, t in enumerate(texts):
+        a = brute.words(t)
+        for i, x in enumerate(items):
+            b = brute.words(x)
+            for mask in decontaminate.MASKS:
+                on = [k for k, c in enumerate(mask) if c == "1"]
+                seeds = {}
+                for q in range(len(b) - len(mask) + 1):
+                    seeds.setdefault(tuple(b[q + k] for k in on), []).append(q)
+                want |= {(r, i, p - q) for p in range(len(a) - len(mask) + 1) for q in seeds.get(tuple(a[p + k] for k in on), ())}
+    assert set(map(tuple, at_once[0].tolist())) == want
+
+
 def test_decontamination(spark):
     item = prose(77, 40)
     words = item.split()
@@ -130,6 +157,7 @@ def test_decontamination(spark):
     row = found.where(F.col("doc_id") == n + 1).first()
     assert (row.start_word, row.end_word, row.n_matched) == (120, 160, 40)
     assert collect(decontaminate.contaminated(d, bench, block_bytes=64).distinct(), "doc_id", "item_id", "n_matched") == collect(found.distinct(), "doc_id", "item_id", "n_matched")
+    assert found.count() == 4  # the item that occurs twice counts once
     kept = decontaminate.decontaminate(d, bench)
     assert kept.columns == d.columns and kept.count() == len(texts) - 4
     assert decontaminate.contaminated(d.limit(0), bench).count() == 0 and decontaminate.contaminated(d, bench.limit(0)).count() == 0
@@ -245,6 +273,9 @@ def test_quality_model(spark):
     assert all(0 <= r.score <= 1 for r in quality_model.score(docs(spark, *ODD), model).collect())
     assert {r.score for r in quality_model.score(d, quality_model.fit(d, labels.where("label = 1"))).collect()} != {None}
     assert quality_model.score(d.limit(0), quality_model.fit(d, labels.limit(0))).count() == 0
+    model, scored = quality_model.fit_and_score(d, labels.unionByName(labels), width=64)  # repeated labels count once
+    assert {r.doc_id: r.score for r in scored.collect()} == pytest.approx(got)
+    assert quality_model.fit_and_score(d.limit(0), labels, width=64)[1].count() == 0
     assert quality_model.isotonic(np.array([1.0, 3, 2, 5]), np.ones(4)).tolist() == [1, 2.5, 2.5, 5]
 
 

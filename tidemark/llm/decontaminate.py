@@ -12,7 +12,7 @@ The index is built and broadcast in blocks of items of about ``block_bytes`` of
 a scan of its own, so its size never grows with the benchmark. A longer item is a block for itself.
 
 Null, empty and blank texts match nothing; items shorter than the shortest mask (six tokens) can't be told
-from ordinary language and match nothing; repeated rows each give their own rows; other columns are ignored.
+from ordinary language and match nothing; repeated document rows each give their own rows, repeated items count once; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,20 +57,30 @@ class Index:
         self.short = np.zeros(1 << _SHORT_BITS, bool)
         self.short[(seed >> U64(64 - _SHORT_BITS)).astype(np.int64)] = True
 
-    def hits(self, w) -> np.ndarray:
-        """Distinct (row, item, diagonal) of a block's words; the diagonal is document word minus item word."""
-        out = [np.zeros((0, 3), np.int64)]
+    def hits(self, w, most: int = 2_000_000) -> Iterator[np.ndarray]:
+        """Distinct (row, item, diagonal) of a block's words, sorted; the diagonal is document word minus item word. They come in
+        stretches of whole rows that meet about ``most`` seeds of the index, however many items share a phrase."""
+        found = []
         for k, mask in enumerate(MASKS):
             seed = grams(w.hash, _shifts(mask), 7 + k)
             at = np.flatnonzero(self.short[(seed >> U64(64 - _SHORT_BITS)).astype(np.int64)])
             at = at[whole(at, w, len(mask))]
-            low, high = np.searchsorted(self.seed, seed[at], "left"), np.searchsorted(self.seed, seed[at], "right")
-            times = high - low
-            at, low = np.repeat(at, times), np.repeat(low, times)
-            entry = low + np.arange(len(low)) - np.repeat(np.cumsum(times) - times, times)
-            row = w.row[at]
-            out.append(np.stack([row, self.item[entry], at - w.first[row] - self.at[entry]], 1))
-        return np.unique(np.concatenate(out), axis=0)
+            low = np.searchsorted(self.seed, seed[at], "left")
+            found.append((at, low, np.searchsorted(self.seed, seed[at], "right") - low))
+        at, low, times = (np.concatenate(c) for c in zip(*found, strict=True))
+        met = np.flatnonzero(times)
+        met = met[np.argsort(at[met], kind="stable")]
+        at, low, times = at[met], low[met], times[met]
+        row, total, done = w.row[at], np.cumsum(times), 0
+        while done < len(at):
+            to = int(np.searchsorted(total, total[done] + most, "left"))
+            part = slice(done, int(np.searchsorted(row, row[min(to, len(at) - 1)], "right")))
+            done, n = part.stop, times[part]
+            entry = np.repeat(low[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            r, item = np.repeat(row[part], n), self.item[entry]
+            hit = np.stack([r, item, np.repeat(at[part], n) - w.first[r] - self.at[entry]], 1)
+            hit = hit[np.lexsort((hit[:, 2], r * len(self.ids) + item))]
+            yield hit[np.append(True, np.any(np.diff(hit, axis=0), axis=1))]
 
 
 def best_run(equal: np.ndarray) -> tuple[int, int, int]:
@@ -90,32 +100,42 @@ def _overlaps(index: Index, w, row: int, item: int, diagonals: list[int], min_ma
         a, b = max(0, d), min(len(own), d + len(tokens))
         start, end, n = best_run(own[a:b] == tokens[a - d : b - d])
         runs.append((d, a + start, a + end, n))
-    need = min(min_matched, len(tokens))
+    need, on = min(min_matched, len(tokens)), {r[0]: r for r in runs}
     found = []
     for d, start, end, n in runs:
-        near = [r for r in runs if abs(r[0] - d) <= drift and abs(r[1] - start) <= 2 * len(tokens)]
+        near = [on[e] for e in range(d - drift, d + drift + 1) if e in on and abs(on[e][1] - start) <= 2 * len(tokens)]
         total = sum(r[3] for r in near if r[3] >= SHORTEST or r[0] == d)
         if total >= need:
             found.append((start, end, n, total))
     return found
 
 
-def _scan(shared, min_matched: int, drift: int):
+def _scan(shared, min_matched: int, drift: int, most: int = 20_000):
+    names = ["doc_id", "item_id", "start_word", "end_word", "n_matched", "item_words", "n_overlaps"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+            out.clear()
+            return rows
+
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "item_id", "start_word", "end_word", "n_matched", "item_words", "n_overlaps")}
             for part, data, offsets in blocks(batch, "text"):
                 w = words(data, offsets)
-                hits = index.hits(w)
-                cut = np.flatnonzero(np.any(np.diff(hits[:, :2], axis=0), axis=1)) + 1 if len(hits) else []
-                for group in np.split(hits, cut) if len(hits) else []:
-                    row, item = int(group[0, 0]), int(group[0, 1])
-                    if found := _overlaps(index, w, row, item, group[:, 2].tolist(), min_matched, drift):
-                        start, end, _, total = max(found, key=lambda f: (f[2], -f[0]))
-                        for k, v in zip(out, (part.column(0)[row].as_py(), index.ids[item], start, end, total, len(index.tokens[item]), len(found)), strict=True):
-                            out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], names=list(out))
+                for hits in index.hits(w):
+                    cut = np.flatnonzero(np.any(np.diff(hits[:, :2], axis=0), axis=1)) + 1
+                    for group in np.split(hits, cut):
+                        row, item = int(group[0, 0]), int(group[0, 1])
+                        if found := _overlaps(index, w, row, item, group[:, 2].tolist(), min_matched, drift):
+                            start, end, _, total = max(found, key=lambda f: (f[2], -f[0]))
+                            out.append((part.column(0)[row].as_py(), index.ids[item], start, end, total, len(index.tokens[item]), len(found)))
+                            if len(out) >= most:
+                                yield flush()
+        if out:
+            yield flush()
 
     return run
 
@@ -126,12 +146,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_matched: int = 10, d
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") > 0)
+    items = items.distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-2 * size // block_bytes))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = []
     for k in range(parts):
-        block = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).collect()
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
         index = Index([r.item_id for r in block], [r.text for r in block])
         shared = spark.sparkContext.broadcast(index)
         found.append(docs.mapInArrow(_scan(shared, min_matched, drift), "doc_id long, item_id long, start_word long, end_word long, n_matched long, item_words long, n_overlaps long"))
