@@ -3,10 +3,10 @@
 A mask selects token positions of a short span and ignores the others, so a substituted word at an
 ignored position leaves the seed's hash as it was. The benchmark's seeds, under every mask, form an
 index of sorted 64-bit hashes; each document's seeds are looked up in it in one scan, without a shuffle.
-Around each hit the tokens of item and document are compared along the hit's diagonal; the best run
-(a match +1, a substitution -3, so three quarters at least match) is an overlap. A document
-is contaminated by an item if its overlaps, on one diagonal or on diagonals up to ``drift`` apart (inserted
-or deleted words), match ``min_matched`` tokens in all, or all tokens of a shorter item.
+Around each hit the tokens of item and document are compared along the hit's diagonal. An overlap is a stretch of
+six words or more of which three quarters match; a diagonal's overlaps are the disjoint ones that match most in all (where
+there is none, its best-scoring run). A document is contaminated by an item if its overlaps, on one diagonal or on diagonals
+up to ``drift`` apart (inserted or deleted words), match ``min_matched`` tokens in all, or all tokens of a shorter item.
 
 The index is built and broadcast in blocks of items of about ``block_bytes`` of text at most, each with
 a scan of its own, so its size never grows with the benchmark. A longer item is a block for itself.
@@ -17,6 +17,7 @@ from ordinary language and match nothing; repeated document rows each give their
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
@@ -92,19 +93,60 @@ def best_run(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(equal[start:end].sum())
 
 
+def stretches(equal: np.ndarray) -> list[tuple[int, int, int]]:
+    """Start, end and matches of disjoint stretches of SHORTEST words or more, each three quarters matched, that match most in all.
+
+    A stretch may as well begin and end with a run of matches. Of the runs it may begin with, those stay in ``level`` and ``value`` that
+    no other betters with a lower level, so that each end finds its best begin by bisection."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], equal, [False]]).astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    done = np.cumsum(end - start)
+    before = done - (end - start)
+    opens, closes = (4 * before - 3 * start).tolist(), (4 * done - 3 * end).tolist()
+    start, end, done, before = start.tolist(), end.tolist(), done.tolist(), before.tolist()
+    most, begin, level, value, run, ready = [0], [], [], [], [], 0
+    for k in range(len(start)):
+        while ready <= k and end[k] - start[ready] >= SHORTEST:
+            gain, p = most[ready] - before[ready], bisect_right(level, opens[ready])
+            if not p or value[p - 1] < gain:
+                q = p
+                while q < len(level) and value[q] < gain:
+                    q += 1
+                level[p:q], value[p:q], run[p:q] = [opens[ready]], [gain], [ready]
+            ready += 1
+        p = bisect_right(level, closes[k])
+        better = bool(p) and value[p - 1] + done[k] > most[k]
+        most.append(value[p - 1] + done[k] if better else most[k])
+        begin.append(run[p - 1] if better else -1)
+    found, k = [], len(start) - 1
+    while k >= 0:
+        if (i := begin[k]) >= 0:
+            found.append((start[i], end[k], done[k] - before[i]))
+            k = i
+        k -= 1
+    return found[::-1]
+
+
 def _overlaps(index: Index, w, row: int, item: int, diagonals: list[int], min_matched: int, drift: int):
     """The document's overlaps with an item: words start and end, matches; [] if they are too few."""
     tokens, own = index.tokens[item], w.hash[w.first[row] : w.first[row + 1]]
-    runs = []
+    need, equal = min(min_matched, len(tokens)), {}
     for d in diagonals:
         a, b = max(0, d), min(len(own), d + len(tokens))
-        start, end, n = best_run(own[a:b] == tokens[a - d : b - d])
-        runs.append((d, a + start, a + end, n))
-    need, on = min(min_matched, len(tokens)), {r[0]: r for r in runs}
-    found = []
-    for d, start, end, n in runs:
-        near = [on[e] for e in range(d - drift, d + drift + 1) if e in on and abs(on[e][1] - start) <= 2 * len(tokens)]
-        total = sum(r[3] for r in near if r[3] >= SHORTEST or r[0] == d)
+        equal[d] = own[a:b] == tokens[a - d : b - d]
+    same = {d: int(np.count_nonzero(e)) for d, e in equal.items()}
+    near_to = {d: [e for e in range(d - drift, d + drift + 1) if e in equal] for d in equal}
+    hopeful = {e for es in near_to.values() if sum(same[e] for e in es) >= need for e in es}
+    runs = []
+    for d in diagonals:
+        if d in hopeful:
+            parts = stretches(equal[d]) or [best_run(equal[d])]
+            start, end, n = max(parts, key=lambda p: p[2])
+            runs.append((d, max(0, d) + start, max(0, d) + end, n, sum(p[2] for p in parts)))
+    on, found = {r[0]: r for r in runs}, []
+    for d, start, end, n, _ in runs:
+        near = [on[e] for e in near_to[d] if e in on and abs(on[e][1] - start) <= 2 * len(tokens)]
+        total = sum(r[4] for r in near if r[4] >= SHORTEST or r[0] == d)
         if total >= need:
             found.append((start, end, n, total))
     return found
