@@ -378,3 +378,18 @@ def test_pipeline(spark):
             assert not [i for i, t in rows if i in kept and brute.measures(t)[5]]
     packed = corpus_pipeline.run(spark, SF)
     assert packed.select("doc_id").distinct().count() == d.count()
+
+
+@pytest.mark.parametrize("broadcast_ids", [1000, 0])
+def test_stages_judge_rows_of_null_and_repeated_ids(spark, broadcast_ids):
+    a, b, c, e, f = (prose(700 + i, 80) for i in range(5))
+    rows = [(9, a), (None, a), (9, a), (2, b), (2, c), (3, c + " end"), (None, e), (None, e), (5, a), (5, f), (None, ""), (None, ""), (7, "")]
+    d = docs(spark, *[t for _, t in rows], ids=[i for i, _ in rows]).repartition(3).persist()
+    want = [(5, a), (2, b), (2, c), (None, e), (5, f), (None, ""), (None, ""), (7, "")]
+    kept = near_dup.without_near_duplicates(d, broadcast_ids=broadcast_ids)
+    assert kept.columns == d.columns and collect(kept, "doc_id", "text") == sorted(want, key=repr)
+    assert collect(corpus_pipeline.near_duplicates(spark, d, SF), "doc_id", "text") == sorted(want, key=repr)
+    bench = spark.createDataFrame([(1, " ".join(a.split()[10:40])), (2, " ".join(c.split()[:30]))], "item_id long, text string")
+    clean = decontaminate.decontaminate(d, bench, block_bytes=64)
+    assert clean.columns == d.columns
+    assert collect(clean, "doc_id", "text") == sorted([(i, t) for i, t in rows if t in (b, e, f, "")], key=repr)

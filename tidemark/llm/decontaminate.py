@@ -158,13 +158,15 @@ def _scan(shared, min_matched: int, drift: int, most: int = 20_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         out: list[tuple] = []
+        kind = pa.int64()
 
         def flush() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+            rows = pa.RecordBatch.from_arrays([pa.array(c, kind if k == 0 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], names=names)
             out.clear()
             return rows
 
         for batch in batches:
+            kind = batch.column(0).type
             for part, data, offsets in blocks(batch, "text"):
                 w = words(data, offsets)
                 for hits in index.hits(w):
@@ -182,26 +184,31 @@ def _scan(shared, min_matched: int, drift: int, most: int = 20_000):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_matched: int = 10, drift: int = 4, block_bytes: int = 4 << 20) -> DataFrame:
-    """A row for each document row and benchmark item that overlap: doc_id, item_id, start_word and end_word of the best
-    overlap in the document, n_matched tokens, item_words, n_overlaps. Documents without a row are clean."""
+def _found(docs: DataFrame, benchmark: DataFrame, min_matched: int, drift: int, block_bytes: int) -> DataFrame:
+    """The overlaps of docs (doc_id, of any type, and text)."""
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") > 0)
     items = items.distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-2 * size // block_bytes))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = []
+    kind, found = docs.schema["doc_id"].dataType.simpleString(), []
     for k in range(parts):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
         index = Index([r.item_id for r in block], [r.text for r in block])
         shared = spark.sparkContext.broadcast(index)
-        found.append(docs.mapInArrow(_scan(shared, min_matched, drift), "doc_id long, item_id long, start_word long, end_word long, n_matched long, item_words long, n_overlaps long"))
+        found.append(docs.mapInArrow(_scan(shared, min_matched, drift), f"doc_id {kind}, item_id long, start_word long, end_word long, n_matched long, item_words long, n_overlaps long"))
     return reduce(DataFrame.unionByName, found)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_matched: int = 10, drift: int = 4) -> DataFrame:
-    """docs without the contaminated documents; a null doc_id stays."""
-    bad = contaminated(docs, benchmark, min_matched, drift).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_matched: int = 10, drift: int = 4, block_bytes: int = 4 << 20) -> DataFrame:
+    """A row for each document row and benchmark item that overlap: doc_id, item_id, start_word and end_word of the best
+    overlap in the document, n_matched tokens, item_words, n_overlaps. Documents without a row are clean."""
+    return _found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, min_matched, drift, block_bytes)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_matched: int = 10, drift: int = 4, block_bytes: int = 4 << 20) -> DataFrame:
+    """docs without the contaminated rows, each judged by its own text, whatever its doc_id."""
+    digest = F.sha2("text", 256)
+    bad = _found(docs.select(digest.alias("doc_id"), "text"), benchmark, min_matched, drift, block_bytes).select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, digest == bad["__bad"], "left_anti")

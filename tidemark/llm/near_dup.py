@@ -252,3 +252,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75, ring: int = 64) -> DataF
     rows = described.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 75, broadcast_ids: int = 500_000) -> DataFrame:
+    """docs with only the row of smallest doc_id (null is last) of each component. Every row is judged by its own text: rows of a null or
+    repeated doc_id are stored with keys of their own, apart from all ids; the others' key is their doc_id."""
+    named = docs.withColumn("__key", F.col("doc_id").cast("long"))
+    again = durable(named.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1 or __key is null").select(F.col("__key").alias("__again")))
+    n_again = again.count()
+    if not n_again:
+        gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("__gone"))
+        return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    again = F.broadcast(again) if n_again <= broadcast_ids else again
+    repeats = named["__key"].eqNullSafe(again["__again"])
+    low, high = named.agg(F.coalesce(F.min("__key"), F.lit(0)), F.coalesce(F.max("__key"), F.lit(0))).first()
+    place = F.monotonically_increasing_id()
+    own = F.lit(low) - 1 - place if low > -(1 << 62) else F.lit(high) + 1 + place
+    odd = durable(named.join(again, repeats, "left_semi").withColumn("__id", F.col("__key")).withColumn("__key", own))
+    keyed = named.join(again, repeats, "left_anti").withColumn("__id", F.col("__key")).unionByName(odd)
+    found = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("__key"), "component_id")
+    found = durable(found.join(keyed.select("__key", "__id"), "__key"))
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__key")).alias("first"))
+    gone = found.join(first.select("component_id", F.col("first.__key").alias("__first")), "component_id").where("__key <> __first").select("__key")
+    return keyed.join(gone, "__key", "left_anti").select(*docs.columns)
