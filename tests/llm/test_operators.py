@@ -393,3 +393,17 @@ def test_stages_judge_rows_of_null_and_repeated_ids(spark, broadcast_ids):
     clean = decontaminate.decontaminate(d, bench, block_bytes=64)
     assert clean.columns == d.columns
     assert collect(clean, "doc_id", "text") == sorted([(i, t) for i, t in rows if t in (b, e, f, "")], key=repr)
+
+
+def test_document_frequencies_are_of_all_documents(spark, monkeypatch):
+    texts = [x for x in ODD if x] * 3 + [prose(i, 40) for i in range(300)]
+    rows = [(i, t, "ab"[i % 2]) for i, t in enumerate(texts)]
+    d = spark.createDataFrame([*rows, (900, None, "a"), (901, "unlabelled", None)], "doc_id long, text string, lang string")
+    want = np.zeros(1 << langid.BITS)
+    for b, _ in langid.tf(texts):
+        want[b] += 1
+    seen, train = [], langid.train
+    monkeypatch.setattr(langid, "train", lambda rows, label, langs, n_docs, total: seen.append((n_docs, total, len(rows))) or train(rows, label, langs, n_docs, total))
+    langid.fit(d, sample=40)
+    (n_docs, total, learnt), = seen
+    assert total == len(texts) and learnt < 120 and np.array_equal(n_docs, want)

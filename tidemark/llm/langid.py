@@ -6,8 +6,8 @@ per coordinate with L1 and L2 penalties, so most weights are zero; a temperature
 didn't see calibrates the probabilities. The table of weights has a fixed number of rows, and is broadcast; every text is
 scored in one scan.
 
-The classifier learns from about ``sample`` labelled rows of each language, taken by hash: a bound that doesn't grow with the
-corpus; there may be up to ``most`` languages. Null texts and texts without a letter are ``und`` with score 1; without anything to learn
+The document frequencies are of all rows that may be learnt from. The classifier's fit alone learns from about ``sample`` labelled
+rows of each language, taken by hash: a bound that doesn't grow with the corpus; there may be up to ``most`` languages. Null texts and texts without a letter are ``und`` with score 1; without anything to learn
 from all are ``und``; repeated rows are scored each; rows of null lang aren't learnt from; only doc_id, text and, to learn, lang are read.
 """
 
@@ -109,11 +109,29 @@ def tf(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, langs: list[str], alpha: float = 1.0, beta: float = 0.1, l1: float = 0.02, l2: float = 0.02, epochs: int = 3, seed: int = 2) -> Model:
-    n_docs = np.zeros(1 << BITS)
-    for b, _ in rows:
-        n_docs[b] += 1
-    idf = np.log((1 + len(rows)) / (1 + n_docs)) + 1
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(1 << BITS, np.int64)
+    for batch in batches:
+        for part, data, offsets in blocks(batch, "text", 1 << 20):
+            keys = [np.repeat(np.arange(part.num_rows, dtype=np.int64) << BITS, np.diff(at)) + bucket for bucket, at in gram_buckets(data, offsets)]
+            n += np.bincount(np.unique(np.concatenate(keys)) & ((1 << BITS) - 1), minlength=1 << BITS)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["bucket", "n"])
+
+
+def document_frequency(docs: DataFrame) -> np.ndarray:
+    """How many rows of docs (text) hold each bucket, from one scan that gives at most 2**BITS counts a partition."""
+    ship(docs.sparkSession)
+    counts = docs.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    n = np.zeros(1 << BITS)
+    for r in counts:
+        n[r.bucket] = r.n
+    return n
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, langs: list[str], n_docs: np.ndarray, total: int, alpha: float = 1.0, beta: float = 0.1, l1: float = 0.02, l2: float = 0.02, epochs: int = 3, seed: int = 2) -> Model:
+    """n_docs: how many of all ``total`` documents hold each bucket."""
+    idf = np.log((1 + total) / (1 + n_docs)) + 1
     k = len(langs)
     z, n, zb, nb = np.zeros((1 << BITS, k)), np.zeros((1 << BITS, k)), np.zeros(k), np.zeros(k)
     solve = lambda z, n, l1: np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
@@ -154,7 +172,7 @@ def fit(docs: DataFrame, sample: int = 1000, most: int = 500) -> Model | None:
     aside = np.random.default_rng(4).random(len(got)) < 0.2
     aside &= len(got) >= 50
     rows = tf([r.text for r in got])
-    model = train([r for r, a in zip(rows, aside, strict=True) if not a], y[~aside], langs)
+    model = train([r for r, a in zip(rows, aside, strict=True) if not a], y[~aside], langs, document_frequency(docs), sum(r[1] for r in counts))
     if aside.any():
         x = np.stack([model.table[:, b] @ s + model.bias for (b, s), a in zip(rows, aside, strict=True) if a])
         target = y[aside]
