@@ -407,3 +407,10 @@ def test_document_frequencies_are_of_all_documents(spark, monkeypatch):
     langid.fit(d, sample=40)
     (n_docs, total, learnt), = seen
     assert total == len(texts) and learnt < 120 and np.array_equal(n_docs, want)
+
+
+def test_too_many_languages_are_an_error(spark):
+    d = spark.createDataFrame([(i, prose(i, 20), f"l{i % 4}") for i in range(80)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        langid.fit(d, sample=20, most=3)
+    assert langid.fit(d, sample=20, most=4).langs == ["l0", "l1", "l2", "l3"]

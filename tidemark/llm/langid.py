@@ -7,7 +7,7 @@ didn't see calibrates the probabilities. The table of weights has a fixed number
 scored in one scan.
 
 The document frequencies are of all rows that may be learnt from. The classifier's fit alone learns from about ``sample`` labelled
-rows of each language, taken by hash: a bound that doesn't grow with the corpus; there may be up to ``most`` languages. Null texts and texts without a letter are ``und`` with score 1; without anything to learn
+rows of each language, taken by hash: a bound that doesn't grow with the corpus; there may be up to ``most`` languages, more are an error. Null texts and texts without a letter are ``und`` with score 1; without anything to learn
 from all are ``und``; repeated rows are scored each; rows of null lang aren't learnt from; only doc_id, text and, to learn, lang are read.
 """
 
@@ -157,9 +157,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, langs: l
 def fit(docs: DataFrame, sample: int = 1000, most: int = 500) -> Model | None:
     """docs: doc_id, text, lang of the rows to learn from."""
     docs = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
+    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most + 1).collect()
     if not counts:
         return None
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages to learn; give a larger bound, and the driver memory for its weights")
     langs = sorted(r[0] for r in counts)
     share = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, sample / r[1])))])
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
