@@ -244,3 +244,25 @@ def test_validation(spark, t):
     export = report.large_transactions(views.regulatory_large_transactions(t), date(2024, 1, 31))
     assert export.columns[0] == "transaction_id" and len(export.columns) == 16
     assert export_csv is not None
+
+
+@pytest.mark.parametrize("fails_at", [1, 2, 3])
+def test_stream_loads_a_batch_whole_after_a_failure(spark, house, t, tmp_path, monkeypatch, fails_at):
+    second = {"load_date": date(2024, 1, 16), "transaction_date": date(2024, 1, 16)}
+    make(spark, "stg_transactions", staged(1), staged(2, "NONE"), staged(3, **second), staged(4, "NONE", **second)).coalesce(1).write.parquet(str(tmp_path / "in"))
+    calls, append = [], Warehouse.append
+
+    def failing(self, *a):
+        calls.append(a)
+        if len(calls) == fails_at:
+            raise OSError("lost")
+        append(self, *a)
+
+    monkeypatch.setattr(Warehouse, "append", failing)
+    for _ in range(2):
+        try:
+            incoming.start(spark, str(tmp_path / "in"), house, str(tmp_path / "ck"), clock=lambda: NOW).awaitTermination()
+        except Exception as e:
+            assert "lost" in str(e)
+    assert sorted(r.transaction_id for r in house["fact_transaction"].collect()) == [1, 3]
+    assert sorted(r.transaction_id for r in house["stg_transaction_errors"].collect()) == [2, 4]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +20,13 @@ def start(spark: SparkSession, folder: str, w: Warehouse, checkpoint: str, first
 
     def each(rows: DataFrame, number: int) -> None:
         batch_id, run_ts = first_batch + number, F.lit(clock()).cast("timestamp_ntz")
-        if not w["fact_transaction"].where(F.col("etl_batch_id") == batch_id).isEmpty():
-            return  # a batch that is delivered again
-        for r in rows.select("load_date").distinct().collect():
-            t = {n: w[n] for n in ("dim_account", "dim_customer", "dim_exchange_rates")} | {"stg_transactions": rows}
-            w.append("stg_transaction_errors", load.rejects(t, r.load_date, batch_id))
-            w.append("fact_transaction", load.enriched(t, r.load_date, batch_id, run_ts), run_ts)
+        # A batch that is delivered again finds what the first delivery wrote: each table in one append for all dates, or not at all.
+        t = {n: w[n] for n in ("dim_account", "dim_customer", "dim_exchange_rates")} | {"stg_transactions": rows}
+        dates = [r.load_date for r in rows.select("load_date").distinct().collect()]
+        if dates and w["stg_transaction_errors"].where(F.col("batch_id") == batch_id).isEmpty():
+            w.append("stg_transaction_errors", reduce(DataFrame.unionByName, [load.rejects(t, d, batch_id) for d in dates]))
+        if dates and w["fact_transaction"].where(F.col("etl_batch_id") == batch_id).isEmpty():
+            w.append("fact_transaction", reduce(DataFrame.unionByName, [load.enriched(t, d, batch_id, run_ts) for d in dates]), run_ts)
 
     stream = spark.readStream.schema(TABLES["stg_transactions"].schema).parquet(folder)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
