@@ -57,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     raise AssertionError("STAGES is empty")
 
 
-#: SQL can't express the near-duplicate sketches, the learnt rules and the tokens; tests/llm compares with brute force.
+#: SQL can't express the near-duplicate sketches, the learnt rules and the tokens; tests/llm compares line dedup, near-dedup and the base quality rule with brute force.
 ORACLE_SQL = None

@@ -414,3 +414,13 @@ def test_too_many_languages_are_an_error(spark):
     with pytest.raises(ValueError, match="more than 3 languages"):
         langid.fit(d, sample=20, most=3)
     assert langid.fit(d, sample=20, most=4).langs == ["l0", "l1", "l2", "l3"]
+
+
+def test_pipeline_line_dedup_matches_plain_python(spark):
+    import hashlib
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    got = collect(corpus_pipeline.lines(spark, d, SF), "doc_id", "text")
+    want = brute.line_dedup([(r.doc_id, r.text) for r in d.collect()])
+    assert sorted((i, hashlib.sha256(x.encode()).hexdigest()) for i, x in got) == sorted((i, h) for i, _, _, h in want)
+    assert any(n for _, _, n, _ in want)
