@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -18,6 +19,7 @@ import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from tidemark.llm import decontaminate, langid, line_dedup, near_dup, packing, quality_model, quality_rules, secrets, sharding, toxicity  # noqa: E402
 from tidemark.llm import text as kernels  # noqa: E402
+from tidemark.llm.common import Scratch  # noqa: E402
 from tidemark.llm.queries import ORACLES, QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -89,19 +91,48 @@ def test_near_duplicates(spark):
     assert odd == [(4, 4, True), (4, 4, True), (None, None, True)]
 
 
-def test_leftover_cells_are_bounded_and_exact(spark):
-    """Stars that see only the smallest id leave links for the second look; cells of a few shingles give the same links."""
+@pytest.mark.parametrize("broadcast_ids", [0, 1000])
+def test_leftover_cells_are_bounded_and_exact(spark, broadcast_ids):
+    """Without any star's links, the second look in cells of a few rows and shingles finds the components alone."""
     texts = near_fixture()
-    d = docs(spark, *texts).select("doc_id", "text")
-    described = near_dup.describe(d).where("s1 is not null").dropDuplicates(["s1", "s2"])
-    reps = described.select(F.col("doc_id").alias("id"), "n_shingles", "bands")
-    buckets = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "value"))
+    d = docs(spark, *texts).select(F.col("doc_id").alias("id"), "text")
+    described = near_dup.describe(docs(spark, *texts)).where("s1 is not null").dropDuplicates(["s1", "s2"])
+    reps = described.select(F.col("doc_id").alias("id"), "n_shingles", "bands").persist()
+    members = reps.select("id", F.posexplode("bands").alias("band", "value")).select("id", (F.shiftleft(F.xxhash64("band", "value"), 5) + F.col("band")).alias("bucket"))
     none = spark.createDataFrame([], "u long, root long")
-    found = near_dup.leftover_links(d, reps, buckets, none, 75, cell=300, broadcast_ids=0).distinct()
-    roots = {r.u: r.v for r in near_dup.contract(found).collect()}
+    with Scratch(spark) as scratch:
+        found = near_dup.leftover_links(scratch, d, reps, members, none, 75, cell=300, rows=7, broadcast_ids=broadcast_ids).distinct()
+        roots = {r.u: r.v for r in near_dup.contract(scratch, found).collect()}
     want = brute.near_dup([(r.id, texts[r.id - 1]) for r in reps.collect()])
-    missing = [i for i, (_, c, _) in want.items() if roots.get(i, i) != c]
-    assert len(missing) <= 1  # pairs of buckets of two are the first look's
+    assert not [i for i, (_, c, _) in want.items() if roots.get(i, i) != c]
+
+
+def test_near_duplicates_of_many_equal_rows(spark):
+    """A thousand rows of either of two similar texts under two ids are as cheap as as many ids, and each row is judged by its own text."""
+    a = prose(61, 80)
+    b, other = a + " end", prose(62, 80)
+    rows = [(1, a), (2, b)] * 1000 + [(2, other), (3, other), (None, a)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    apart = spark.createDataFrame([(i + 1, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    near_dup.near_duplicates(apart).collect()
+    began = time.perf_counter()
+    near_dup.near_duplicates(apart).collect()
+    usual, began = time.perf_counter() - began, time.perf_counter()
+    got = collect(near_dup.near_duplicates(d), "doc_id", "component_id", "kept")
+    assert time.perf_counter() - began < 3 * usual + 5
+    assert got == sorted([(1, 1, True)] * 1000 + [(2, 1, False)] * 1000 + [(2, 2, True), (3, 2, False), (None, None, True)], key=repr)
+
+
+def test_sketch_floor_is_that_of_the_estimate():
+    rng = np.random.default_rng(3)
+    n = 400
+    a = rng.integers(1000, 1040, (n, near_dup.REGISTERS)).astype(np.uint16)
+    b = np.where(rng.random(a.shape) < rng.uniform(0.2, 1, (n, 1)), a, rng.integers(1000, 1040, a.shape)).astype(np.uint16)
+    na, nb = rng.integers(50, 400, n).astype(float), rng.integers(50, 400, n).astype(float)
+    estimate, floor = near_dup.likely_jaccard(a, b, na, nb), near_dup.floor_of(75)
+    may, fit = near_dup.may_link(a, b, na, nb, 75), 100 * np.minimum(na, nb) >= 75 * np.maximum(na, nb)
+    clear = np.abs(estimate - floor) > 1 / 64
+    assert clear.sum() > 100 and np.array_equal(may[clear], (fit & (estimate >= floor))[clear])
 
 
 def test_sketch_estimates():
