@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -58,6 +58,13 @@ class Scratch:
         self.paths[id(out)] = (path, out)
         return out
 
+    def keep_till_exit(self, df: DataFrame) -> DataFrame:
+        """The same for a table that a caller reads later: deleted when the driver ends."""
+        out = self.keep(df)
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+        return out
+
     def drop(self, df: DataFrame) -> None:
         """Nothing may read df after this."""
         self._delete(self.paths.pop(id(df))[0])
@@ -68,6 +75,13 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def within(rows: DataFrame, group: str, size: str, budget: int) -> DataFrame:
+    """Of each group, the rows of lowest h whose sizes add up to ``budget`` at most, and the first in any case. For bounded samples."""
+    order = Window.partitionBy(group).orderBy("h")
+    running = rows.withColumn("__sum", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__at", F.row_number().over(order))
+    return running.where((F.col("__sum") <= budget) | (F.col("__at") == 1)).drop("__sum", "__at")
+
+
 _shipped: set[str] = set()
 
 

@@ -3,10 +3,14 @@
 Rules look at counts of the whole text; each votes good (1), bad (-1) or abstains (0). Expectation-maximisation
 over how often each combination of votes occurs (at most 3 ** rules rows, whatever the corpus) estimates the share of
 good documents and, per rule, how often it votes each way, rightly or wrongly, on good and on bad ones. A document stays if it doesn't fail
-the base rule and its posterior probability of being good is ``threshold`` or more.
+the base rule and its posterior probability of being good is ``threshold`` or more; a tie with the threshold stays.
 
-Null, empty and blank texts have no words and fail the base rule; ties and repeated rows are judged each for itself;
-other columns are left out of ``judge`` and pass through ``keep_good``; doc_id may be null.
+Every text is measured once: ``judge`` stores the counts alone, ``keep_good`` the rows with their votes, in the shared folder, and the estimate
+and the verdicts read what is stored. Nothing is cached, so each call sees its table as it is then.
+
+Null, empty and blank texts have no words and fail the base rule; repeated rows are judged each for itself; very long texts are measured
+whole, as arrays of their words in one row; other columns, of whatever name, are left out of ``judge`` and pass through ``keep_good``; doc_id may
+be null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, durable
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -123,26 +129,32 @@ def posterior(votes: tuple[int, ...], prior: float, rates: Rates) -> float:
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def _judge(measured: DataFrame, threshold: float) -> DataFrame:
-    votes = rules()
-    counted = measured.select(*[c.alias(k) for k, c in votes.items()]).groupBy(*votes).agg(F.count("*").alias("n"))
-    patterns = sorted((tuple(r[k] for k in votes), r["n"]) for r in counted.collect())
+def _verdict(stored: DataFrame, votes: list[str], threshold: float) -> DataFrame:
+    """stored (base_failed and a column for each vote) with posterior and kept."""
+    counted = stored.groupBy(*votes).agg(F.count("*").alias("__n"))
+    patterns = sorted((tuple(r[v] for v in votes), r["__n"]) for r in counted.collect())
     prior, rates = expectation_maximisation(patterns)
     z = F.lit(math.log(prior / (1 - prior)))
-    for vote, add in zip(votes.values(), log_odds(rates), strict=False):
-        z = z + F.when(vote > 0, F.lit(add[1])).when(vote < 0, F.lit(add[-1])).otherwise(F.lit(add[0]))
-    return measured.withColumn("base_failed", base_failed()).withColumn("posterior", 1 / (1 + F.exp(-z))).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+    for vote, add in zip(votes, log_odds(rates), strict=False):
+        z = z + F.when(F.col(vote) > 0, F.lit(add[1])).when(F.col(vote) < 0, F.lit(add[-1])).otherwise(F.lit(add[0]))
+    return stored.withColumn("posterior", 1 / (1 + F.exp(-z))).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+
+
+def _voted(measured: DataFrame) -> tuple[DataFrame, list[str]]:
+    """measured with base_failed and the votes, and the votes' columns."""
+    votes = {f"__{k}": c.cast("tinyint") for k, c in rules().items()}
+    return measured.withColumns({"base_failed": base_failed()} | votes), list(votes)
 
 
-def judge(docs: DataFrame, threshold: float = 0.5, keep=None) -> DataFrame:
-    """doc_id, the counts of ``measure``, base_failed, posterior and kept for each row of docs. keep: stores the counts once, for the two passes over them."""
-    measured = measure(docs.select("doc_id", "text")).drop("text")
-    return _judge((keep or (lambda x: x))(measured), threshold)
+def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, the counts of ``measure``, base_failed, posterior and kept for each row of docs."""
+    stored, votes = _voted(durable(measure(docs.select("doc_id", "text")).drop("text")))
+    return _verdict(stored, votes, threshold).drop(*votes)
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that ``judge`` keeps, as they are."""
-    names, row = docs.columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    # The row number keeps the optimiser from writing the counts' expressions into the filter, once for each use of them.
-    measured = measure(docs.select(row, "text")).withColumn("__number", F.monotonically_increasing_id())
-    return _judge(measured, threshold).where("kept and __number >= 0").select("__row.*").select(*[f"`{c}`" for c in names])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    voted, votes = _voted(measure(docs.select(row, "text")))
+    stored = Scratch(docs.sparkSession).keep_till_exit(voted.select("__row", "base_failed", *votes))
+    return _verdict(stored, votes, threshold).where("kept").select("__row.*").select(*[f"`{c}`" for c in docs.columns])
