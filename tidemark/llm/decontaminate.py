@@ -12,7 +12,9 @@ The index is built and broadcast in blocks of items of about ``block_bytes`` of
 a scan of its own, so its size never grows with the benchmark. A longer item is a block for itself.
 
 Null, empty and blank texts match nothing; items shorter than the shortest mask (six tokens) can't be told
-from ordinary language and match nothing; repeated document rows each give their own rows, repeated items count once; other columns are ignored.
+from ordinary language and match nothing; repeated document rows each give their own rows, repeated items count once; of overlaps that match
+equally, the first in the document is shown; texts of any length are searched whole, one at a time where they exceed a block; an empty table of
+documents gives an empty result, an empty benchmark finds nothing; other columns, of whatever name, are ignored or pass through.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import durable, ship
 from .text import U64, blocks, grams, whole, words
 
 #: 1: the position counts; 0: it is ignored.
@@ -152,6 +154,20 @@ def _overlaps(index: Index, w, row: int, item: int, diagonals: list[int], min_ma
     return found
 
 
+def _matches(index: Index, data: np.ndarray, offsets: np.ndarray, min_matched: int, drift: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """Row of a block, and item_id, start_word, end_word, n_matched, item_words, n_overlaps, for each row and item that overlap."""
+    w = words(data, offsets)
+    for hits in index.hits(w):
+        cut = np.flatnonzero(np.any(np.diff(hits[:, :2], axis=0), axis=1)) + 1
+        for group in np.split(hits, cut):
+            if not len(group):
+                continue
+            row, item = int(group[0, 0]), int(group[0, 1])
+            if found := _overlaps(index, w, row, item, group[:, 2].tolist(), min_matched, drift):
+                start, end, _, total = max(found, key=lambda f: (f[2], -f[0]))
+                yield row, (index.ids[item], start, end, total, len(index.tokens[item]), len(found))
+
+
 def _scan(shared, min_matched: int, drift: int, most: int = 20_000):
     names = ["doc_id", "item_id", "start_word", "end_word", "n_matched", "item_words", "n_overlaps"]
 
@@ -168,47 +184,68 @@ def _scan(shared, min_matched: int, drift: int, most: int = 20_000):
         for batch in batches:
             kind = batch.column(0).type
             for part, data, offsets in blocks(batch, "text"):
-                w = words(data, offsets)
-                for hits in index.hits(w):
-                    cut = np.flatnonzero(np.any(np.diff(hits[:, :2], axis=0), axis=1)) + 1
-                    for group in np.split(hits, cut):
-                        row, item = int(group[0, 0]), int(group[0, 1])
-                        if found := _overlaps(index, w, row, item, group[:, 2].tolist(), min_matched, drift):
-                            start, end, _, total = max(found, key=lambda f: (f[2], -f[0]))
-                            out.append((part.column(0)[row].as_py(), index.ids[item], start, end, total, len(index.tokens[item]), len(found)))
-                            if len(out) >= most:
-                                yield flush()
+                for row, match in _matches(index, data, offsets, min_matched, drift):
+                    out.append((part.column(0)[row].as_py(), *match))
+                    if len(out) >= most:
+                        yield flush()
         if out:
             yield flush()
 
     return run
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, min_matched: int, drift: int, block_bytes: int) -> DataFrame:
-    """The overlaps of docs (doc_id, of any type, and text)."""
-    spark = docs.sparkSession
-    ship(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") > 0)
-    items = items.distinct()
+def _clean(shared, text: str, min_matched: int, drift: int):
+    """The rows whose column ``text`` overlaps no item of the index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in blocks(batch, text):
+                keep = np.ones(part.num_rows, bool)
+                for row, _ in _matches(shared.value, data, offsets, min_matched, drift):
+                    keep[row] = False
+                yield part.filter(pa.array(keep))
+
+    return run
+
+
+def _items(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """The distinct items with text, and into how many blocks they are dealt."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") > 0).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-2 * size // block_bytes))
-    kind, found = docs.schema["doc_id"].dataType.simpleString(), []
-    for k in range(parts):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        index = Index([r.item_id for r in block], [r.text for r in block])
-        shared = spark.sparkContext.broadcast(index)
-        found.append(docs.mapInArrow(_scan(shared, min_matched, drift), f"doc_id {kind}, item_id long, start_word long, end_word long, n_matched long, item_words long, n_overlaps long"))
-    return reduce(DataFrame.unionByName, found)
+    return items, max(1, -(-2 * size // block_bytes))
+
+
+def _shared(items: DataFrame, k: int, parts: int):
+    """The index of block k, broadcast."""
+    block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
+    return items.sparkSession.sparkContext.broadcast(Index([r.item_id for r in block], [r.text for r in block]))
+
+
+def _found(docs: DataFrame, items: DataFrame, parts: int, min_matched: int, drift: int) -> DataFrame:
+    """The overlaps of docs (doc_id, of any type, and text)."""
+    ship(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, item_id long, start_word long, end_word long, n_matched long, item_words long, n_overlaps long"
+    return reduce(DataFrame.unionByName, [docs.mapInArrow(_scan(_shared(items, k, parts), min_matched, drift), schema) for k in range(parts)])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_matched: int = 10, drift: int = 4, block_bytes: int = 4 << 20) -> DataFrame:
     """A row for each document row and benchmark item that overlap: doc_id, item_id, start_word and end_word of the best
     overlap in the document, n_matched tokens, item_words, n_overlaps. Documents without a row are clean."""
-    return _found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, min_matched, drift, block_bytes)
+    return _found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), *_items(benchmark, block_bytes), min_matched, drift)
+
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_matched: int = 10, drift: int = 4, block_bytes: int = 4 << 20, broadcast_texts: int = 200_000) -> DataFrame:
+    """docs without the contaminated rows, each judged by its own text, whatever its doc_id.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_matched: int = 10, drift: int = 4, block_bytes: int = 4 << 20) -> DataFrame:
-    """docs without the contaminated rows, each judged by its own text, whatever its doc_id."""
+    With an index of one block the one scan drops them; with more, the digests of contaminated texts are found block by block and broadcast up to
+    ``broadcast_texts`` of them (64 bytes each), joined beyond."""
+    ship(docs.sparkSession)
+    items, parts = _items(benchmark, block_bytes)
+    if parts == 1:
+        plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+        kept = plain.mapInArrow(_clean(_shared(items, 0, 1), f"c{docs.columns.index('text')}", min_matched, drift), plain.schema)
+        return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
     digest = F.sha2("text", 256)
-    bad = _found(docs.select(digest.alias("doc_id"), "text"), benchmark, min_matched, drift, block_bytes).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, digest == bad["__bad"], "left_anti")
+    bad = durable(_found(docs.select(digest.alias("doc_id"), "text"), items, parts, min_matched, drift).select(F.col("doc_id").alias("__bad")).distinct())
+    return docs.join(F.broadcast(bad) if bad.count() <= broadcast_texts else bad, digest == bad["__bad"], "left_anti")
