@@ -10,7 +10,8 @@ those with the labels to fit, and scores them. No text is shuffled.
 
 All labelled rows that aren't held out are used. Null, empty and blank texts have statistics too (zeros) and get a score; labels that are
 null or without a document are ignored, and a repeated label of a document counts once; labels all alike give their smoothed share as every
-score; repeated rows are scored each. Only doc_id and text of the documents are read.
+score; tied scores share a bin; repeated rows are scored each; texts of any length are read whole, one at a time where they exceed a block; an empty
+table gives an empty result. Only doc_id and text of the documents are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -110,6 +111,14 @@ def isotonic(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for v, _, n in pools] or [np.zeros(0)])
 
 
+def calibrated(n0: np.ndarray, n1: np.ndarray, share: float) -> np.ndarray:
+    """Non-decreasing shares of label 1 for bins in order. Bins are pooled by their plain counts first; each pool, not each bin, is then drawn towards ``share`` by one row."""
+    plain = isotonic(n1 / (n0 + n1), n0 + n1)
+    pool = np.append(0, np.cumsum(np.diff(plain) != 0))
+    ones, all_ = np.bincount(pool, n1), np.bincount(pool, n0 + n1)
+    return isotonic((ones + share) / (all_ + 1), all_)[pool]
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offsets in blocks(batch, "text"):
@@ -206,10 +215,11 @@ def fit_described(described: DataFrame, labels: DataFrame, width: int = 256, gam
     calibration = rows.where("aside").select("stats", "label").mapInArrow(_bins(shared, low, high, bins), "k long, n0 long, n1 long")
     binned = sorted(calibration.groupBy("k").agg(F.sum("n0"), F.sum("n1")).collect())
     if not binned:
-        binned = [(0, 0, 0), (bins - 1, 0, 0)]
+        model.edges, model.values = np.array([low, high]), np.full(2, share)
+        return model
     k, n0, n1 = (np.array(c, float) for c in zip(*binned, strict=True))
     model.edges = low + (k + 0.5) * (high - low) / bins
-    model.values = isotonic((n1 + share) / (n0 + n1 + 1), n0 + n1 + 1)
+    model.values = calibrated(n0, n1, share)
     return model
 
 
