@@ -275,6 +275,13 @@ def test_quality_rules(spark):
     assert quality_rules.judge(d.limit(0)).count() == 0 and quality_rules.keep_good(d.limit(0)).count() == 0
 
 
+def test_quality_rules_see_a_rewritten_table(spark, tmp_path):
+    """A second call in the same session judges the rows that the table has then."""
+    for n, text in ((3, "one two three"), (7, "a b c d e f g")):
+        spark.createDataFrame([(1, text)], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        assert [r.n_words for r in QUERIES["op10_quality_rules"](spark, str(tmp_path)).collect()] == [n]
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -354,6 +361,8 @@ def test_quality_model(spark):
     assert {r.doc_id: r.score for r in scored.collect()} == pytest.approx(got)
     assert quality_model.fit_and_score(d.limit(0), labels, width=64)[1].count() == 0
     assert quality_model.isotonic(np.array([1.0, 3, 2, 5]), np.ones(4)).tolist() == [1, 2.5, 2.5, 5]
+    values = quality_model.calibrated(np.array([1.0] * 9 + [0, 1, 0]), np.array([0.0] * 9 + [1, 0, 1]), 0.9)
+    assert np.allclose(values[:9], 0.9 / 10) and (np.diff(values) >= 0).all()  # nine bins of one bad row each count as nine rows
 
 
 def test_language_id(spark):
@@ -383,13 +392,49 @@ def test_queries_match_sql(spark, name):
     assert collect(got, *sorted(got.columns)) == sorted((tuple(r[want.columns.index(c)] for c in sorted(want.columns)) for r in want.fetchall()), key=repr)
 
 
-def test_held_out_accuracy(spark):
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_held_out_accuracy(spark, sf):
     import zlib as z
 
-    lang = {r.doc_id: r for r in QUERIES["op8_language_id"](spark, "/root/testdata/sf0.01").collect()}
-    true = dict(duckdb.sql("select doc_id, lang from '/root/testdata/sf0.01/documents.parquet'").fetchall())
-    out = [i for i in lang if z.crc32(str(i).encode()) % 4 == 2]
-    assert all(lang[i].held_out for i in out) and np.mean([lang[i].lang_pred == true[i] for i in out]) > 0.97
+    sf = f"/root/testdata/{sf}"
+    con = duckdb.connect()
+    true = dict(con.sql(f"select doc_id, lang from '{sf}/documents.parquet'").fetchall())
+    label = {i: (q, t) for i, q, t in con.sql(f"select doc_id, quality, toxic from '{sf}/labels.parquet'").fetchall()}
+
+    def run(name, folds, out):
+        rows = QUERIES[name](spark, sf).collect()
+        assert len(rows) == len(true) and all(r.held_out == (z.crc32(str(r.doc_id).encode()) % folds == out) and 0 <= r.score <= 1 for r in rows)
+        return [r for r in rows if r.held_out]
+
+    assert np.mean([r.lang_pred == true[r.doc_id] for r in run("op8_language_id", 4, 2)]) > 0.97
+    toxic = [(r.predicted, label[r.doc_id][1]) for r in run("op3_toxicity", 3, 1) if r.doc_id in label]
+    assert np.mean([p for p, t in toxic if t]) >= 0.5 and np.mean([p for p, t in toxic if not t]) < 0.02
+    good = [(r.predicted, label[r.doc_id][0]) for r in run("op4_quality_classifier", 5, 0) if r.doc_id in label]
+    assert np.mean([p for p, t in good if t]) > 0.97 and np.mean([1 - p for p, t in good if not t]) >= 0.5
+
+
+def test_fits_gather_bounded_features(spark):
+    """Long texts, null ids, repeated rows and labels: no text goes to the driver, the features' bytes are bounded, no language is lost."""
+    long = [prose(3000 + i, 20_000) for i in range(3)]
+    rows = [(None, "aa bb cc " * 5, "x")] * 50 + [(7, "dd ee ff " * 5, "y")] * 500 + [(100 + i, t, "z") for i, t in enumerate(long)] + [(200 + i, prose(i, 30), "z") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    seen, train = [], langid.train
+    langid.train = lambda rows, label, *rest: seen.append((sum(b.nbytes + 4 * len(x) for b, x in rows), set(label.tolist()))) or train(rows, label, *rest)
+    try:
+        model = langid.fit(d, sample=20, most_bytes=300_000)
+    finally:
+        langid.train = train
+    (size, found), = seen
+    assert size <= 300_000 and found == {0, 1, 2} and model.langs == ["x", "y", "z"]
+    labels = spark.createDataFrame([(7, 1)] * 3 + [(7, 0)] + [(100 + i, 0) for i in range(3)] + [(200 + i, i % 2) for i in range(40)] + [(None, 1)], "doc_id long, label int")
+    taken, fitted = [], toxicity.train
+    toxicity.train = lambda rows, y, **k: taken.append((sum(r.nbytes for r in rows), len(y))) or fitted(rows, y, **k)
+    try:
+        toxicity.fit(d, labels, most_bytes=50_000)
+        toxicity.fit(d, labels)
+    finally:
+        toxicity.train = fitted
+    assert taken[0][0] <= 50_000 and taken[1][1] == 45
 
 
 def test_pipeline(spark):

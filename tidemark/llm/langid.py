@@ -6,22 +6,29 @@ per coordinate with L1 and L2 penalties, so most weights are zero; a temperature
 didn't see calibrates the probabilities. The table of weights has a fixed number of rows, and is broadcast; every text is
 scored in one scan.
 
-The document frequencies are of all rows that may be learnt from. The classifier's fit alone learns from about ``sample`` labelled
-rows of each language, taken by hash: a bound that doesn't grow with the corpus; there may be up to ``most`` languages, more are an error. Null texts and texts without a letter are ``und`` with score 1; without anything to learn
-from all are ``und``; repeated rows are scored each; rows of null lang aren't learnt from; only doc_id, text and, to learn, lang are read.
+The document frequencies are of all rows that may be learnt from. The classifier's fit alone learns from a sample: of each language the
+``sample`` distinct rows of lowest hash of doc_id and text, and of these as many, in that order, as have an equal share of ``most_bytes`` of
+features: bounds that don't grow with the corpus. The features are made on the executors; no text goes to the driver. There may be up to
+``most`` languages, more are an error.
+
+Null texts and texts without a letter are ``und`` with score 1; without anything to learn from all are ``und``; of equally likely
+languages the first by name is given; repeated rows are scored each and learnt from once; rows of null lang aren't learnt from; texts of any
+length are read whole, one at a time where they exceed a block; an empty table gives an empty result; only doc_id, text and, to learn, lang
+are read, whatever other columns there are.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, within
 from .text import U64, blocks, mix
 
 BITS = 15
@@ -154,26 +161,55 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, langs: l
     return Model(langs, np.ascontiguousarray((solve(z, n, l1) * idf[:, None]).T.astype(np.float32)), solve(zb, nb, 0.0))
 
 
-def fit(docs: DataFrame, sample: int = 1000, most: int = 500) -> Model | None:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            rows = tf(part.column(2).to_pylist())
+            keys, shares = [b.astype("<i4").tobytes() for b, _ in rows], [x.astype("<f4").tobytes() for _, x in rows]
+            size = pa.array([len(k) + len(x) for k, x in zip(keys, shares, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), size, pa.array(keys, pa.binary()), pa.array(shares, pa.binary())], names=["lang", "h", "n", "buckets", "shares"])
+
+
+def _sample(rows: DataFrame, counts: dict[str, int], sample: int) -> DataFrame:
+    """lang and h of the ``sample`` lowest distinct h of each language. rows: lang, h.
+
+    A scan looks at the share of hashes in which about four times as many should lie; a language of which copies leave too few is looked at again with a larger share."""
+    place, low = F.pmod("h", F.lit(1 << 30)) / float(1 << 30), Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
+    share, found = {lang: min(1.0, 4 * sample / n) for lang, n in counts.items()}, []
+    while share:
+        of = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
+        near = rows.where(place < F.coalesce(F.try_element_at(of, F.col("lang")), F.lit(0.0))).distinct()
+        got = near.withColumn("at", F.row_number().over(low)).where(F.col("at") <= sample).select("lang", "h").collect()
+        have = Counter(r.lang for r in got)
+        done = {lang for lang, x in share.items() if have[lang] >= sample or x >= 1}
+        found += [(r.lang, r.h) for r in got if r.lang in done]
+        share = {lang: min(1.0, 16 * x) for lang, x in share.items() if lang not in done}
+    return rows.sparkSession.createDataFrame(found, "lang string, h long")
+
+
+def fit(docs: DataFrame, sample: int = 1000, most: int = 500, most_bytes: int = 64 << 20) -> Model | None:
     """docs: doc_id, text, lang of the rows to learn from."""
-    docs = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    ship(docs.sparkSession)
+    docs = docs.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"))
     counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most + 1).collect()
     if not counts:
         return None
     if len(counts) > most:
         raise ValueError(f"more than {most} languages to learn; give a larger bound, and the driver memory for its weights")
     langs = sorted(r[0] for r in counts)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, sample / r[1])))])
-    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    got = docs.where(place < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).limit(2 * sample * len(langs)).collect()
-    got.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text))
+    chosen = _sample(docs.select("lang", "h"), {r[0]: r[1] for r in counts}, sample)
+    texts = docs.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    made = texts.select("lang", "h", "text").mapInArrow(_packed, "lang string, h long, n long, buckets binary, shares binary")
+    got = within(made, "lang", "n", most_bytes // len(langs)).select("lang", "h", "buckets", "shares").collect()
+    got.sort(key=lambda r: (r.h, r.lang))
     y = np.array([langs.index(r.lang) for r in got], int)
     if len(set(y.tolist())) < 2:
         only = got[0].lang if got else langs[0]
         return Model([only], np.zeros((1, 1 << BITS), np.float32), np.zeros(1))
+    rows = [(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.shares, "<f4").astype(float)) for r in got]
     aside = np.random.default_rng(4).random(len(got)) < 0.2
     aside &= len(got) >= 50
-    rows = tf([r.text for r in got])
     model = train([r for r, a in zip(rows, aside, strict=True) if not a], y[~aside], langs, document_frequency(docs), sum(r[1] for r in counts))
     if aside.any():
         x = np.stack([model.table[:, b] @ s + model.bias for (b, s), a in zip(rows, aside, strict=True) if a])

@@ -6,12 +6,14 @@ and the L1 penalty leaves most weights at exactly zero, so that the model is a s
 broadcast. The logit is then scaled and shifted on labelled rows that training didn't see. A text without any feature
 of weight gets the intercept's probability.
 
-The classifier learns from at most ``sample`` labelled rows of either label (those of lowest hash), a bound that
-doesn't grow with the corpus. Scoring takes one scan without a shuffle.
-
-Null, empty and blank texts have no features and get the intercept's score; repeated rows are scored each; a label that is
-null or whose document is missing is not learnt from; without labels of both kinds the score is the prior (0.5 without any).
-Only doc_id and text of the documents are read.
+The classifier learns from at most ``sample`` labelled documents of either label (those of lowest hash), and of these from as many, in
+that order, as have ``most_bytes`` / 2 bytes of features: bounds that don't grow with the corpus. The features are made on the executors; no
+text goes to the driver. Scoring takes one scan without a shuffle.
+
+Null, empty and blank texts have no features and get the intercept's score; repeated rows are scored each, and learnt from once a doc_id (the
+text of lowest hash) and label; a label that is null or whose document is missing is not learnt from; without labels of both kinds the score is
+the prior (0.5 without any). Texts of any length are scored whole, one at a time where they exceed a block; an empty table gives an empty
+result. Only doc_id and text of the documents are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, within
 from .text import PUNCTUATION, U64, blocks, grams, whole, words
 
 BITS = 22
@@ -122,21 +124,31 @@ def calibrate(model: Model, x: np.ndarray, y: np.ndarray, prior: float) -> Model
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model:
-    """labels: doc_id, label (0, 1). At most ``sample`` rows of each label are taken, by hash of doc_id; a fifth of them calibrates."""
-    labels = labels.where("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            rows = [r.astype("<i4").tobytes() for r in row_features(part.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(r) for r in rows], pa.int64()), pa.array(rows, pa.binary())], names=["h", "label", "n", "buckets"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_bytes: int = 64 << 20) -> Model:
+    """labels: doc_id, label (0, 1). At most ``sample`` documents of each label are taken, by hash of doc_id; a fifth of them calibrates."""
+    ship(docs.sparkSession)
+    labels = labels.where("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label")).distinct()
     counts = dict(labels.groupBy("label").count().collect())
     chosen = None
     for label in (0, 1):
         part = labels.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").limit(4 * sample).collect()
-    got.sort(key=lambda r: (r.doc_id, r.text or "", r.label))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    made = texts.select(F.xxhash64("doc_id").alias("h"), "label", "text").mapInArrow(_features, "h long, label int, n long, buckets binary")
+    got = sorted(within(made, "label", "n", most_bytes // 2).select("h", "label", "buckets").collect(), key=lambda r: (r.h, r.label))
     y = np.array([r.label for r in got], float)
     if len(set(y)) < 2:
         share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
         return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log(share / (1 - share))))
-    rows = row_features([r.text for r in got])
+    rows = [np.frombuffer(r.buckets, "<i4") for r in got]
     aside = np.random.default_rng(11).random(len(rows)) < 0.2
     aside &= len(rows) >= 50
     model = train([r for r, out in zip(rows, aside, strict=True) if not out], y[~aside])
