@@ -98,7 +98,7 @@ def test_leftover_cells_are_bounded_and_exact(spark, broadcast_ids):
     d = docs(spark, *texts).select(F.col("doc_id").alias("id"), "text")
     described = near_dup.describe(docs(spark, *texts)).where("s1 is not null").dropDuplicates(["s1", "s2"])
     reps = described.select(F.col("doc_id").alias("id"), "n_shingles", "bands").persist()
-    members = reps.select("id", F.posexplode("bands").alias("band", "value")).select("id", (F.shiftleft(F.xxhash64("band", "value"), 5) + F.col("band")).alias("bucket"))
+    members = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "value")).select("id", "n_shingles", (F.shiftleft(F.xxhash64("band", "value"), 5) + F.col("band")).alias("bucket"))
     none = spark.createDataFrame([], "u long, root long")
     with Scratch(spark) as scratch:
         found = near_dup.leftover_links(scratch, d, reps, members, none, 75, cell=300, rows=7, broadcast_ids=broadcast_ids).distinct()
@@ -123,6 +123,17 @@ def test_near_duplicates_of_many_equal_rows(spark):
     assert got == sorted([(1, 1, True)] * 1000 + [(2, 1, False)] * 1000 + [(2, 2, True), (3, 2, False), (None, None, True)], key=repr)
 
 
+def test_long_pairs_are_checked_in_bounded_steps():
+    import pyarrow as pa
+
+    texts = [prose(i, n) for i, n in enumerate((10, 60_000, 70_000, 5, 90_000))] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(range(7)), pa.array(texts, pa.string()), pa.array([t and t + " end" for t in texts], pa.string())], names=["id", "centre", "text_a", "text_b"])
+    steps = [[len(t or "") for t in p.column(2).to_pylist()] for p in near_dup._steps(batch, "text_a", "text_b")]
+    assert sum(map(len, steps)) == 7 and all(len(s) == 1 or 2 * sum(s) <= kernels.BLOCK_BYTES for s in steps)
+    (out,) = near_dup._check(75)(iter([batch]))
+    assert out.column(0).to_pylist() == [0, 1, 2, 4]
+
+
 def test_sketch_floor_is_that_of_the_estimate():
     rng = np.random.default_rng(3)
     n = 400

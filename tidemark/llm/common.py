@@ -35,6 +35,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Scratch:
     """Tables written to the shared folder, without their lineage, for the length of one computation, and dropped as soon as they are of no more use."""
 
@@ -45,11 +50,7 @@ class Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
-        self._delete(self.folder)
-
-    def _delete(self, path: str) -> None:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        delete(self.spark, self.folder)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path, self.made = f"{self.folder}/{self.made}", self.made + 1
@@ -67,7 +68,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Nothing may read df after this."""
-        self._delete(self.paths.pop(id(df))[0])
+        delete(self.spark, self.paths.pop(id(df))[0])
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, durable, ship
-from .text import U64, blocks, grams, mix, signed, words
+from .text import BLOCK_BYTES, U64, blocks, grams, mix, signed, words
 
 WORDS = 5
 REGISTERS, ROWS = 128, 4
@@ -157,8 +157,9 @@ def _check(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for (_, data_a, off_a), (_, data_b, off_b) in zip(_rows(batch, "text_a"), _rows(batch, "text_b"), strict=True):
-                for a, b in zip(shingle_sets(data_a, off_a), shingle_sets(data_b, off_b), strict=True):
+            for part in _steps(batch, "text_a", "text_b"):
+                sets_a, sets_b = ([s for _, data, offsets in blocks(part, column) for s in shingle_sets(data, offsets)] for column in ("text_a", "text_b"))
+                for a, b in zip(sets_a, sets_b, strict=True):
                     both = len(np.intersect1d(a, b, assume_unique=True))
                     keep.append(100 * both >= percent * (len(a) + len(b) - both) and both > 0)
             mask = pa.array(keep, pa.bool_())
@@ -167,10 +168,14 @@ def _check(percent: int):
     return run
 
 
-def _rows(batch: pa.RecordBatch, column: str) -> Iterator[tuple]:
-    """Blocks of 64 rows, so that two columns step together."""
-    for at in range(0, batch.num_rows, 64):
-        yield from blocks(batch.slice(at, 64), column, most=1 << 60)
+def _steps(batch: pa.RecordBatch, *columns: str) -> Iterator[pa.RecordBatch]:
+    """Slices of whose columns no more than about a block of text is held at once, or of one row."""
+    size = sum(pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(c))), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    total, at = np.append(0, np.cumsum(size)), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(total, total[at] + BLOCK_BYTES, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def contract(scratch: Scratch, edges: DataFrame, most: int | None = None) -> DataFrame:
@@ -254,12 +259,11 @@ def _cells(percent: int):
 
 
 def leftover_links(scratch: Scratch, docs: DataFrame, reps: DataFrame, members: DataFrame, roots: DataFrame, percent: int, cell: int = 400_000, rows: int = 1024, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """Links u > v of different components that share a bucket. docs: id, text. reps: id, n_shingles, bands. members: id, bucket of all members of a bucket.
+    """Links u > v of different components that share a bucket. docs: id, text. reps: id, n_shingles, bands. members: id, n_shingles, bucket of all members of a bucket.
 
     A bucket's largest component needs no comparing with itself; all its other members, the outsiders, meet every member. Of buckets with the same members
     only that of the first band counts. Both sides are dealt into blocks of about ``rows`` rows and ``cell`` shingles, so that no task holds more than two."""
-    sized = _only(reps.select("id", "n_shingles"), members.select("id").distinct(), broadcast_ids)
-    held = members.join(roots, members["id"] == roots["u"], "left").select("id", "bucket", F.coalesce("root", "id").alias("comp")).join(sized, "id")
+    held = members.join(roots, members["id"] == roots["u"], "left").select("id", "n_shingles", "bucket", F.coalesce("root", "id").alias("comp"))
     by_comp = held.groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("size"), F.bit_xor(F.xxhash64("id")).alias("who"))
     mixed = by_comp.groupBy("bucket").agg(
         F.sum("k").alias("n"), F.sum("size").alias("size"), F.max("k").alias("n_most"), F.max_by("size", "k").alias("most"), F.max_by("comp", "k").alias("main"), F.bit_xor("who").alias("who"), F.count("*").alias("comps")
@@ -302,9 +306,9 @@ def _first_links(scratch: Scratch, reps: DataFrame, members: DataFrame, grouped:
     pairs = all_pairs.unionByName(star_pairs.select(F.greatest("id", "centre").alias("id"), F.least("id", "centre").alias("centre"))).distinct()
     pairs = scratch.keep(pairs)
     known = _only(reps, pairs.select(F.explode(F.array("id", "centre")).alias("id")).distinct(), broadcast_ids)
-    near = pairs.join(known.select("id", F.col("n_shingles").alias("na")), "id").join(known.select(F.col("id").alias("centre"), F.col("n_shingles").alias("nb")), "centre")
+    near = pairs.join(known.select("id", F.col("n_shingles").alias("na"), F.col("bands").alias("ba")), "id")
+    near = near.join(known.select(F.col("id").alias("centre"), F.col("n_shingles").alias("nb"), F.col("bands").alias("bb")), "centre")
     near = near.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    near = near.join(known.select("id", F.col("bands").alias("ba")), "id").join(known.select(F.col("id").alias("centre"), F.col("bands").alias("bb")), "centre")
     likely = scratch.keep(near.select("id", "centre", "na", "nb", "ba", "bb").mapInArrow(_likely(percent), "id long, centre long"))
     scratch.drop(pairs)
     return likely
@@ -316,11 +320,11 @@ def components_of(scratch: Scratch, docs: DataFrame, described: DataFrame, class
     copies = scratch.keep(sets.select("id", "s1", "s2").join(classes.withColumnRenamed("id", "first"), ["s1", "s2"]).where("id <> first").select("id"))
     reps = sets.join(F.broadcast(copies) if copies.count() <= broadcast_ids else copies, "id", "left_anti").select("id", "n_shingles", "bands")
     # A bucket's number is a hash of band and value whose lowest bits are the band.
-    spread = reps.select("id", F.posexplode("bands").alias("band", "value")).select("id", (F.shiftleft(F.xxhash64("band", "value"), BANDS.bit_length() - 1) + F.col("band")).alias("bucket"))
+    spread = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "value")).select("id", "n_shingles", (F.shiftleft(F.xxhash64("band", "value"), BANDS.bit_length() - 1) + F.col("band")).alias("bucket"))
     grouped = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor("id").alias("all"))
     grouped = scratch.keep(grouped.where("n > 1"))
     large = grouped.where("n > 3").select("bucket")
-    members = scratch.keep(spread.join(F.broadcast(large) if large.count() <= broadcast_ids else large, "bucket", "left_semi").select("id", "bucket"))
+    members = scratch.keep(spread.join(F.broadcast(large) if large.count() <= broadcast_ids else large, "bucket", "left_semi").select("id", "n_shingles", "bucket"))
     likely = _first_links(scratch, reps, members, grouped, percent, ring, broadcast_ids)
     scratch.drop(grouped)
     # Two rounds join up nearly all of each component. What they leave apart is at worst compared again below.
