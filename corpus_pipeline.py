@@ -1,7 +1,11 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate removal, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the last return the columns
-of documents. ``run`` writes each stage's rows as Parquet in the shared folder and gives them to the next.
+of documents. ``run`` writes each stage's rows as Parquet in the shared folder, gives them to the next and then deletes what they were made from.
+
+Every row is judged by its own text, those of a null or repeated doc_id too. Null, empty and blank texts fail the base quality rule, so no later stage
+meets them from ``run``; alone, each stage takes them as its operator says. Ties between near-duplicates go to the smallest doc_id, null last. Texts of any
+length pass through whole; an empty table passes every stage as one; further columns, of whatever name, are kept up to packing.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, line_dedup, near_dup, packing, quality_rules
-from tidemark.llm.common import shared_dir, table
+from tidemark.llm.common import delete, shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +57,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
     raise AssertionError("STAGES is empty")
 
 
