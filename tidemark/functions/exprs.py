@@ -17,7 +17,7 @@ def zero(value: Column | str) -> Column:
 
 def share(part: Column, whole: Column) -> Column:
     """Hundred times part over whole; null where the whole is zero or null. Rounded half up to two digits."""
-    return F.round(F.when(whole != 0, part / whole * 100), 2).cast("decimal(18,2)")
+    return F.round(F.when(whole != 0, part * 100 / whole), 2).cast("decimal(18,2)")
 
 
 def mean(value: Column | str, over=None) -> Column:
@@ -32,6 +32,11 @@ def days(later: Column, earlier: Column) -> Column:
     return F.datediff(later, earlier)
 
 
+def seconds(later: Column, earlier: Column) -> Column:
+    """Whole seconds between two timestamps."""
+    return F.timestamp_diff("SECOND", earlier, later)
+
+
 def date_key(day: Column) -> Column:
     """YYYYMMDD as an integer."""
     return (F.year(day) * 10000 + F.month(day) * 100 + F.dayofmonth(day)).cast("int")

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 
 def amount(value: Column, digits: int = 12, signed: bool = False) -> Column:
-    """Two decimals, thousands in groups, blanks for leading zeros; signed: a leading + or -."""
+    """Two decimals, thousands in groups, blanks for leading zeros, the sign before the first digit; signed: + too. Null stays null.
+
+    A negative number that takes all digits is one wider than the others, so that its sign isn't lost."""
     groups, rest = divmod(digits, 3)
     whole = ",".join(["9" * rest] * bool(rest) + ["999"] * groups)
     picture = whole[:-1] + "0.00"
-    return F.to_char(F.round(value, 2).cast("decimal(38,2)"), F.lit("S" + picture if signed else picture))
+    shown = F.ltrim(F.to_char(F.round(value, 2).cast("decimal(38,2)"), F.lit(("S" if signed else "MI") + picture)))
+    width = len(picture) + signed
+    return F.when(F.char_length(shown) > width, shown).otherwise(F.lpad(shown, width, " "))
 
 
 def integer(value: Column, width: int, fill: str = " ") -> Column:
@@ -25,11 +29,3 @@ def text(value: Column, width: int) -> Column:
 
 def iso_date(value: Column) -> Column:
     return F.date_format(value, "yyyy-MM-dd")
-
-
-def compact_date(value: Column) -> Column:
-    return F.date_format(value, "yyyyMMdd")
-
-
-def moment(value: Column) -> Column:
-    return F.date_format(value, "yyyy-MM-dd HH:mm:ss")

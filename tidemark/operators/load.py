@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import current, date_key, day, timestamp_of, zero
+from ..functions.exprs import current, date_key, day, month_key, seconds, timestamp_of, zero
 from ..schemas import HOME_CURRENCY, TABLES, align
 from .views import Tables
 
@@ -69,3 +69,8 @@ def staging_check(t: Tables, load_date: date) -> DataFrame:
 
 def next_batch_id(control: DataFrame) -> DataFrame:
     return control.agg((F.coalesce(F.max("batch_id"), F.lit(0)) + 1).cast("long").alias("batch_id"))
+
+
+def durations(control: DataFrame) -> DataFrame:
+    """Per batch: its whole seconds from start to end; null while either is."""
+    return control.select("batch_id", "batch_date", "batch_status", seconds(F.col("end_ts"), F.col("start_ts")).alias("seconds"))

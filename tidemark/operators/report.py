@@ -35,5 +35,5 @@ def branch_summary(view: DataFrame, as_of: date) -> DataFrame:
         f.amount(c("total_deposits"), 12).alias("Total Deposits (NOK)"),
         f.amount(c("total_fees_earned"), 9).alias("Fees Earned"),
         f.integer(c("region_deposit_rank"), 2).alias("Rank"),
-        F.to_char(F.round("pct_of_region_deposits", 2), F.lit("990.00")).alias("% Region"),
+        f.amount(c("pct_of_region_deposits"), 3).alias("% Region"),
     )

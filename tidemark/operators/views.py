@@ -83,7 +83,6 @@ def branch_performance(t: Tables, as_of: date, months: int = 24, per_branch: boo
     branches = t["dim_branch"].where("is_active = 1").select("branch_id", "branch_name", "branch_type", "region", "city")
     snapshots = within(t["fact_monthly_account_snapshot"], "snapshot_date", F.add_months(day(as_of), -months))
     keys = ["branch_id", "branch_name", "branch_type", "region", "city", "snapshot_month_key", "month_name", "calendar_year"]
-    # The facts shrink to branch and day before the dimensions join; distinct counts need the wider grain, so they are kept as they are.
     g = snapshots.join(branches, "branch_id").join(days_, "snapshot_date").groupBy(*keys).agg(
         F.count_distinct("account_key").alias("accounts_serviced"),
         F.count_distinct("customer_key").alias("customers_serviced"),
@@ -103,5 +102,5 @@ def branch_performance(t: Tables, as_of: date, months: int = 24, per_branch: boo
         F.sum("total_fees_earned").over(running.rowsBetween(Window.unboundedPreceding, 0)).cast(MONEY).alias("cumulative_fees_ytd"),
         mean("total_volume", moving.rowsBetween(-2, 0)).alias("moving_avg_volume_3m"),
         F.rank().over(regional.orderBy(F.desc("total_deposits"))).alias("region_deposit_rank"),
-        share(F.col("total_deposits").cast("double"), F.sum("total_deposits").over(regional).cast("double")).alias("pct_of_region_deposits"),
+        share(F.col("total_deposits"), F.sum("total_deposits").over(regional)).alias("pct_of_region_deposits"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .operators import calendar, load, report, scd2, screens, snapshot, validate, views
+from .schemas import TABLES, align
 from .sources.mapping import LOAD_DATE, Mapped
 
 AS_OF, CHECK, BRANCH_AS_OF, LOADED = date(2024, 1, 31), date(2024, 1, 15), date(2001, 8, 31), date.fromisoformat(LOAD_DATE)
@@ -30,8 +31,8 @@ def _changes(t: Mapped) -> scd2.Changes:
 def _merged(t: Mapped) -> DataFrame:
     fresh = snapshot.month_snapshot(t, 2001, 3, 3, _run_ts())
     old = t["fact_monthly_account_snapshot"].where("snapshot_month_key = 200103")
-    columns = ["account_key", "snapshot_month_key", "customer_key", "opening_balance", "closing_balance", "total_debits", "total_credits", "fees_charged"]
-    return snapshot.upsert(old.select(columns), fresh.select(columns), ["account_key", "snapshot_month_key"], ("customer_key",)).where("customer_key is not null")
+    stored = align(old.withColumn("etl_insert_ts", F.lit(None)), TABLES["fact_monthly_account_snapshot"])
+    return snapshot.upsert(stored, fresh, ["account_key", "snapshot_month_key"], snapshot.KEPT).where("customer_key is not null")
 
 
 def _loaded(t: Mapped) -> DataFrame:
@@ -54,11 +55,11 @@ _OPERATORS = {
     "aml_rapid_movement": lambda t: screens.aml_screening(t, AS_OF)["rapid"],
     "aml_new_customer_intl": lambda t: screens.aml_screening(t, AS_OF)["new_international"],
     "load_rejects": lambda t: load.rejects(t, LOADED, 3),
-    "load_enriched": lambda t: _loaded(t).select("transaction_id", "transaction_date", "transaction_ts", "account_key", "customer_key", "product_id", "branch_id", "date_key", "transaction_type", "transaction_amount", "transaction_currency", "base_currency_amount", "exchange_rate", "is_international", "is_flagged", "etl_batch_id"),
-    "monthly_snapshot_agg": lambda t: snapshot.activity(t["fact_transaction"], 2001, 3).drop("interest_charged").withColumns({c: F.col(c).cast("decimal(38,2)") for c in ("total_debits", "total_credits", "interest_earned", "fees_charged", "average_balance")}),
+    "load_enriched": _loaded,
+    "monthly_snapshot_agg": lambda t: snapshot.activity(t["fact_transaction"], 2001, 3).withColumns({c: F.col(c).cast("decimal(38,2)") for c in ("total_debits", "total_credits", "interest_earned", "interest_charged", "fees_charged", "average_balance")}),
     "monthly_snapshot_merge": _merged,
     "scd2_expired": lambda t: _changes(t).expired.select("customer_key", "customer_id", "current_flag", "effective_to", "etl_batch_id"),
-    "scd2_inserted": lambda t: _changes(t).inserted.select("customer_id", "customer_segment", "country_code", "onboarding_date", "effective_from", "effective_to"),
+    "scd2_inserted": lambda t: _changes(t).inserted,
     "row_counts": validate.row_counts,
     "customer_checksum": lambda t: validate.customer_checksum(t).drop("hash_sum"),
     "txn_monthly_checksum": validate.txn_monthly_checksum,
@@ -66,16 +67,15 @@ _OPERATORS = {
     "orphan_checks": validate.orphan_checks,
     "staging_check": lambda t: load.staging_check(t, LOADED),
     "recon_report": _recon,
-    "dim_date": lambda t: t["dim_date"].select("date_key", "calendar_date", "day_of_week", "day_name", "day_of_month", "day_of_year", "iso_week", "month_num", "month_name", "month_short", "quarter_num", "quarter_name", "calendar_year", "is_weekend", "is_month_end", "prior_day_date", "next_day_date", "same_day_prev_year"),
+    "dim_date": lambda t: t["dim_date"],
+    "batch_durations": lambda t: load.durations(t["etl_batch_control"]),
     "next_batch_id": lambda t: load.next_batch_id(t["fact_transaction"].select(F.col("etl_batch_id").alias("batch_id"))),
-    "export_large_txn": lambda t: report.large_transactions(views.regulatory_large_transactions(t), AS_OF).select("transaction_id", "transaction_date", "customer_id", "last_name", "reporting_category", "is_international"),
-    "export_branch_performance": lambda t: report.branch_summary(views.branch_performance(t, BRANCH_AS_OF), BRANCH_AS_OF).select("Branch", "Region", "Month", "Accounts", "Rank"),
+    "export_large_txn": lambda t: report.large_transactions(views.regulatory_large_transactions(t), AS_OF),
+    "export_branch_performance": lambda t: report.branch_summary(views.branch_performance(t, BRANCH_AS_OF), BRANCH_AS_OF),
     # Hashes have no SQL twin: rows only.
     "transaction_row_hashes": lambda t: views.regulatory_large_transactions(t).select("transaction_id", "row_hash"),
     "customer_hash_sum": lambda t: validate.customer_checksum(t).select("hash_sum"),
-    "aml_branch_reports_formatted": lambda t: report.branch_summary(views.branch_performance(t, BRANCH_AS_OF), BRANCH_AS_OF),
 }
-_OPERATORS["branch_report_formatted"] = _OPERATORS.pop("aml_branch_reports_formatted")
 
 
 def _query(operator):

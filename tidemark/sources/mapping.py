@@ -30,7 +30,8 @@ def definitions(dialect: str) -> dict[str, str]:
         "dim_customer": f"""SELECT c_custkey AS customer_key, CAST(c_custkey AS INT) AS customer_id, 'Customer' AS first_name, c_name AS last_name,
             c_mktsegment AS customer_segment, CAST(c_custkey % 100 AS DECIMAL(5,2)) AS risk_score, 'AA' AS credit_rating, {kyc.format(x='c_custkey')} AS kyc_status,
             {plus("DATE '2018-01-01'", 'c_custkey * 37 % 2200')} AS onboarding_date, CAST(1 AS TINYINT) AS is_active, 'City ' || CAST(c_nationkey AS {text}) AS city, 'NOR' AS country_code,
-            CAST(NULL AS {text}) AS marital_status, CAST(NULL AS {text}) AS email_address, CAST(NULL AS {text}) AS phone_number, CAST(NULL AS {text}) AS address_line_1, CAST(NULL AS {text}) AS state_province, CAST(NULL AS {text}) AS postal_code,
+            CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'SINGLE' END AS marital_status, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'c' || CAST(c_custkey AS {text}) || '@mail.no' END AS email_address, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE '47' || CAST(c_custkey AS {text}) END AS phone_number,
+            'Street ' || CAST(c_custkey AS {text}) AS address_line_1, CAST(NULL AS {text}) AS state_province, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE '0' || CAST(c_custkey % 900 + 100 AS {text}) END AS postal_code,
             CASE WHEN c_custkey % 11 = 0 THEN 'N' ELSE 'Y' END AS current_flag, {version}, CAST(0 AS BIGINT) AS etl_batch_id, CAST(NULL AS TIMESTAMP) AS etl_update_ts FROM customer""",
         "dim_account": f"""SELECT account_key, 'ACCT-' || CAST(account_key AS {text}) AS account_id, CAST(c_custkey AS INT) AS customer_id, {kinds.format(x='account_key')} AS account_type, 'NOK' AS currency_code,
             CASE account_key % 9 WHEN 0 THEN 'DORMANT' WHEN 1 THEN 'CLOSED' ELSE 'ACTIVE' END AS account_status, CAST((account_key % 5) * 1000 AS {money}) AS overdraft_limit,
@@ -45,7 +46,7 @@ def definitions(dialect: str) -> dict[str, str]:
             CAST(SUM(CASE WHEN transaction_type IN ('CREDIT', 'INTEREST') THEN amount ELSE -amount END) OVER (PARTITION BY account_key ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {money}) AS running_balance
             FROM (SELECT o_orderkey AS id, o_orderdate AS ts, o_custkey * 2 + o_orderkey % 2 AS account_key, o_custkey AS customer_key,
                     CASE o_orderstatus WHEN 'F' THEN 'DEBIT' WHEN 'O' THEN 'CREDIT' ELSE CASE o_orderkey % 3 WHEN 0 THEN 'FEE' WHEN 1 THEN 'INTEREST' ELSE 'TRANSFER' END END AS transaction_type,
-                    CAST(o_totalprice AS {money}) AS amount FROM orders
+                    CAST(CASE WHEN (o_orderstatus = 'F' AND o_orderkey % 6 = 0) OR (o_orderstatus = 'P' AND o_orderkey % 15 = 1) THEN -o_totalprice ELSE o_totalprice END AS {money}) AS amount FROM orders
                   UNION ALL
                   SELECT 1000000000 + event_id, ts, user_id * 2 + event_id % 2, user_id,
                     CASE event_type WHEN 'purchase' THEN 'DEBIT' WHEN 'signup' THEN 'CREDIT' WHEN 'click' THEN 'TRANSFER' WHEN 'view' THEN 'INTEREST' ELSE 'FEE' END, CAST(ROUND(value * 1000, 2) AS {money}) FROM events) u""",
@@ -53,21 +54,31 @@ def definitions(dialect: str) -> dict[str, str]:
         "fact_monthly_account_snapshot": f"""SELECT {'last_day(month_start)'} AS snapshot_date, CAST(YEAR(month_start) * 100 + MONTH(month_start) AS INT) AS snapshot_month_key, account_key, customer_key, branch_id, product_id, 'NOK' AS currency_code,
             CAST(SUM(credits - debits) OVER (PARTITION BY account_key ORDER BY month_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - credits + debits AS {money}) AS opening_balance,
             CAST(SUM(credits - debits) OVER (PARTITION BY account_key ORDER BY month_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {money}) AS closing_balance,
-            CAST(debits AS {money}) AS total_debits, CAST(credits AS {money}) AS total_credits, CAST(fees AS DECIMAL(12,2)) AS fees_charged, CAST(interest AS DECIMAL(12,2)) AS interest_earned, CAST(0 AS DECIMAL(12,2)) AS interest_charged
+            CAST(debits AS {money}) AS total_debits, CAST(credits AS {money}) AS total_credits, CAST(fees AS DECIMAL(12,2)) AS fees_charged, CAST(interest AS DECIMAL(12,2)) AS interest_earned, CAST(charged AS DECIMAL(12,2)) AS interest_charged,
+            CAST(n_debits AS INT) AS debit_count, CAST(n_credits AS INT) AS credit_count, least_balance AS minimum_balance, most_balance AS maximum_balance, CAST(NULL AS {money}) AS average_balance, CAST(0 AS SMALLINT) AS days_in_overdraft, CAST(0 AS SMALLINT) AS days_dormant,
+            CAST(NULL AS {money}) AS base_currency_closing, CAST(1 AS BIGINT) AS etl_batch_id
             FROM (SELECT account_key, customer_key, branch_id, product_id, CAST(date_trunc('month', transaction_date) AS DATE) AS month_start,
-                    SUM(CASE WHEN transaction_type IN ('DEBIT', 'FEE') THEN transaction_amount ELSE 0 END) AS debits, SUM(CASE WHEN transaction_type IN ('CREDIT', 'INTEREST') THEN transaction_amount ELSE 0 END) AS credits,
-                    SUM(CASE WHEN transaction_type = 'FEE' THEN transaction_amount ELSE 0 END) AS fees, SUM(CASE WHEN transaction_type = 'INTEREST' THEN transaction_amount ELSE 0 END) AS interest
+                    SUM(CASE WHEN transaction_type IN ('DEBIT', 'FEE') THEN ABS(transaction_amount) ELSE 0 END) AS debits, SUM(CASE WHEN transaction_type IN ('CREDIT', 'INTEREST') THEN transaction_amount ELSE 0 END) AS credits,
+                    SUM(CASE WHEN transaction_type = 'FEE' THEN transaction_amount ELSE 0 END) AS fees, SUM(CASE WHEN transaction_type = 'INTEREST' AND transaction_amount > 0 THEN transaction_amount ELSE 0 END) AS interest,
+                    SUM(CASE WHEN transaction_type = 'INTEREST' AND transaction_amount < 0 THEN -transaction_amount ELSE 0 END) AS charged, SUM(CASE WHEN transaction_type IN ('DEBIT', 'FEE') THEN 1 ELSE 0 END) AS n_debits,
+                    SUM(CASE WHEN transaction_type IN ('CREDIT', 'INTEREST') THEN 1 ELSE 0 END) AS n_credits, MIN(running_balance) AS least_balance, MAX(running_balance) AS most_balance
                     FROM txn_once WHERE transaction_date < DATE '2024-01-01' GROUP BY 1, 2, 3, 4, 5) m""",
         "stg_transactions": f"""SELECT CAST(ts AS DATE) AS load_date, 2000000000 + event_id AS transaction_id, CAST(ts AS DATE) AS transaction_date, {clock('ts')} AS transaction_time,
             CASE WHEN event_id % 13 = 0 THEN 'ACCT-UNKNOWN' ELSE 'ACCT-' || CAST(user_id * 2 + event_id % 2 AS {text}) END AS account_id, CASE WHEN event_type = 'purchase' THEN 'DEBIT' ELSE 'CREDIT' END AS transaction_type,
             CAST(NULL AS {text}) AS transaction_subtype, 'ONLINE' AS channel, CAST(ROUND(value * 1000, 2) AS {money}) AS transaction_amount,
-            CASE event_id % 6 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN 'SEK' ELSE 'NOK' END AS currency_code, CAST(NULL AS {text}) AS merchant_id, CAST(NULL AS {text}) AS merchant_name, CAST(NULL AS {text}) AS merchant_category,
+            CASE event_id % 6 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN 'SEK' WHEN 4 THEN NULL ELSE 'NOK' END AS currency_code, CAST(NULL AS {text}) AS merchant_id, CAST(NULL AS {text}) AS merchant_name, CAST(NULL AS {text}) AS merchant_category,
             CAST(NULL AS {text}) AS counterparty_acct, 'STG-' || CAST(event_id AS {text}) AS reference_number, CAST(NULL AS {text}) AS description_text, CAST(ts AS DATE) AS posting_date, CAST(ts AS DATE) AS value_date
             FROM events WHERE CAST(ts AS DATE) = DATE '{LOAD_DATE}'""",
         "dim_exchange_rates": f"""SELECT 'EUR' AS from_currency, 'NOK' AS to_currency, DATE '{LOAD_DATE}' AS rate_date, CAST(11.25 AS DECIMAL(12,6)) AS exchange_rate
             UNION ALL SELECT 'USD', 'NOK', DATE '{LOAD_DATE}', CAST(10.375 AS DECIMAL(12,6)) UNION ALL SELECT 'NOK', 'EUR', DATE '{LOAD_DATE}', CAST(0.089 AS DECIMAL(12,6))""",
-        "stg_customer": f"""SELECT customer_id, first_name, last_name, CAST(NULL AS DATE) AS date_of_birth, CAST(NULL AS {text}) AS gender, marital_status, email_address, phone_number, address_line_1, CAST(NULL AS {text}) AS address_line_2, city, state_province, postal_code, country_code,
-            CASE WHEN customer_id % 2 = 0 THEN 'PREMIUM' ELSE LOWER(customer_segment) END AS customer_segment, risk_score, credit_rating, kyc_status FROM dim_customer WHERE customer_id % 3 = 0
+        "etl_batch_control": """SELECT CAST(day(ts) AS BIGINT) AS batch_id, CAST(ts AS DATE) AS batch_date, CASE WHEN day(ts) % 5 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS batch_status, MIN(ts) AS start_ts, MAX(ts) AS end_ts FROM events GROUP BY 1, 2, 3""",
+        "stg_customer": f"""SELECT customer_id, first_name, last_name, CAST(NULL AS DATE) AS date_of_birth, CAST(NULL AS {text}) AS gender,
+            CASE customer_id % 8 WHEN 1 THEN NULL WHEN 4 THEN 'MARRIED' ELSE marital_status END AS marital_status,
+            CASE customer_id % 10 WHEN 0 THEN '' WHEN 5 THEN 'new@mail.no' WHEN 1 THEN UPPER(email_address) WHEN 7 THEN NULL ELSE email_address END AS email_address,
+            CASE WHEN customer_id % 21 = 0 THEN '' WHEN customer_id % 33 = 0 THEN '00' ELSE phone_number END AS phone_number,
+            CASE WHEN customer_id % 9 = 0 THEN UPPER(address_line_1) ELSE address_line_1 END AS address_line_1, CAST(NULL AS {text}) AS address_line_2, CASE WHEN customer_id % 15 = 0 THEN 'Elsewhere' ELSE city END AS city,
+            CASE WHEN customer_id % 27 = 0 THEN 'North' ELSE state_province END AS state_province, CASE WHEN customer_id % 12 = 0 THEN '0155' WHEN customer_id % 39 = 0 THEN NULL ELSE postal_code END AS postal_code, country_code,
+            CASE WHEN customer_id % 6 = 0 AND customer_id % 4 = 0 THEN 'PREMIUM' ELSE LOWER(customer_segment) END AS customer_segment, risk_score, credit_rating, kyc_status FROM dim_customer WHERE customer_id % 3 = 0
             UNION ALL SELECT customer_id + 10000000, 'New', last_name, CAST(NULL AS DATE), CAST(NULL AS {text}), marital_status, email_address, phone_number, address_line_1, CAST(NULL AS {text}), city, state_province, postal_code, CAST(NULL AS {text}), customer_segment, risk_score, credit_rating, kyc_status
             FROM dim_customer WHERE customer_id % 50 = 0""",
     }
