@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 def amount(value: Column, digits: int = 12, signed: bool = False) -> Column:
     """Two decimals, thousands in groups, blanks for leading zeros, the sign before the first digit; signed: + too. Null stays null.
 
-    A negative number that takes all digits is one wider than the others, so that its sign isn't lost."""
-    groups, rest = divmod(digits, 3)
-    whole = ",".join(["9" * rest] * bool(rest) + ["999"] * groups)
-    picture = whole[:-1] + "0.00"
-    shown = F.ltrim(F.to_char(F.round(value, 2).cast("decimal(38,2)"), F.lit(("S" if signed else "MI") + picture)))
-    width = len(picture) + signed
+    A number too wide for its digits is shown whole, in more room, not cut or starred."""
+    number = F.round(value, 2).cast("decimal(38,2)")
+    sign = F.when(number < 0, "-").otherwise("+" if signed else "")
+    shown = F.concat(sign, F.ltrim(F.to_char(F.abs(number), F.lit(",".join(["999"] * 11) + ",990.00"))))
+    width = digits + (digits - 1) // 3 + 3 + signed
     return F.when(F.char_length(shown) > width, shown).otherwise(F.lpad(shown, width, " "))
 
 

@@ -26,7 +26,8 @@ def _ratio(part: str, whole: str) -> str:
 def _amount(value: str, width: int, signed: bool = False) -> str:
     """Two decimals and thousands in groups; the sign stands before the first digit."""
     sign = f"CASE WHEN {value} < 0 THEN '-' ELSE '{'+' if signed else ''}' END"
-    return f"lpad({sign} || format('{{:,.2f}}', ABS(CAST({value} AS DOUBLE))), {width}, ' ')"
+    shown = f"{sign} || format('{{:,.2f}}', ABS(CAST({value} AS DOUBLE)))"
+    return f"lpad({shown}, CAST(GREATEST({width}, length({shown})) AS INT), ' ')"
 
 
 _FRAME = "OVER (ORDER BY snapshot_month_key, branch_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
