@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import calendar, load, report, scd2, screens, snapshot, validate, views
 from tidemark.plans import daily, monthly
 from tidemark.schemas import TABLES, align, assign_identity, violations
-from tidemark.sources.seeds import read_seed
-from tidemark.sources.warehouse import Warehouse, export_csv
+from tidemark.sources.seeds import read_expected, read_seed
+from tidemark.sources.warehouse import Warehouse, export_report
 from tidemark.streaming import incoming
 
 NOW = datetime(2024, 2, 1, 2)
@@ -196,7 +197,12 @@ def test_daily_run(spark, house, tmp_path):
     assert house["etl_batch_control"].first().batch_status == "COMPLETED"
     assert house["dim_customer"].count() == 4
     assert house["etl_log"].count() == 2
-    again = daily.run(house, date(2024, 1, 15), NOW)
+    assert house["etl_log"].where("log_message rlike 'Inserted: 1, Rejected: 1, Duration: [0-9]+$'").count() == 1
+    assert len(list((tmp_path / "recon/reconciliation").glob("part-*"))) and (tmp_path / "recon/balance_summary").exists() and (tmp_path / "recon/balance_negative").exists()
+    ticks = iter(range(0, 1000, 5))
+    again = daily.run(house, date(2024, 1, 15), NOW, clock=lambda: next(ticks))
+    assert [r.seconds for r in load.durations(house["etl_batch_control"]).where("batch_id = 2").collect()] == [15]
+    assert house["etl_log"].where("log_message like '%Duration: 5'").count() == 1
     assert again.batch_id == 2 and house["fact_transaction"].count() == 2  # append only
 
 
@@ -218,8 +224,10 @@ def test_month_end(spark, house, tmp_path):
     assert [(r.opening_balance, r.closing_balance) for r in got] == [(0, 200_000), (200_000, 200_010)]
     assert validate.broken_invariants(house).count() == 0
     assert monthly.extract(house, date(2024, 3, 1), str(tmp_path / "out")) == 0
-    line = spark.read.text(str(tmp_path / "out/branch_summary")).first()[0]
-    assert "200,000.00" in line and "100.00" in line
+    parts = sorted((tmp_path / "out/branch_summary").glob("part-*"))
+    title, dashes, line = "".join(p.read_text() for p in parts).splitlines()
+    assert title.startswith("Branch  ") and title.split("  ")[-1] == "% Region" and set(dashes) == {"-", " "}
+    assert "200,000.00" in line and "100.00" in line and len(line) == len(title)
     text = spark.read.csv(str(tmp_path / "out/large_transactions"), sep="|", header=True).first()
     assert text.transaction_amount.strip() == "+200,000.00" and text.transaction_date == "2024-02-03"
     assert monthly.extract(house, date(2025, 3, 1), str(tmp_path / "none")) == daily.Exit.NO_DATA
@@ -243,7 +251,6 @@ def test_validation(spark, t):
     assert validate.customer_checksum(t).first().hash_sum is not None
     export = report.large_transactions(views.regulatory_large_transactions(t), date(2024, 1, 31))
     assert export.columns[0] == "transaction_id" and len(export.columns) == 16
-    assert export_csv is not None
 
 
 @pytest.mark.parametrize("fails_at", [1, 2, 3])
@@ -266,3 +273,43 @@ def test_stream_loads_a_batch_whole_after_a_failure(spark, house, t, tmp_path, m
             assert "lost" in str(e)
     assert sorted(r.transaction_id for r in house["fact_transaction"].collect()) == [1, 3]
     assert sorted(r.transaction_id for r in house["stg_transaction_errors"].collect()) == [2, 4]
+
+
+def test_counts_of_a_batch_read_its_files_only(spark, house):
+    house.append("stg_transactions", make(spark, "stg_transactions", staged(1), staged(2, load_date=date(2024, 2, 1))))
+    house.append("fact_transaction", make(spark, "fact_transaction", payment(1, 1, etl_batch_id=7), payment(2, 1, date(2023, 1, 1), etl_batch_id=7)), ts())
+    rows = load.loaded(house, date(2024, 1, 15), 7)
+    assert rows.count() == 1 and re.search(r"PartitionFilters: \[\(?coalesce\(txn_month", rows._jdf.queryExecution().toString())
+    assert "PartitionFilters: [isnotnull(load_date" in load.staged(house, date(2024, 1, 15))._jdf.queryExecution().toString()
+    assert house["stg_transactions"].columns == TABLES["stg_transactions"].schema.names
+
+
+def test_report_keeps_nulls_in_place_and_long_values_whole(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, 2), (2, "x" * 40, None)], "a int, b string, c int").orderBy("a")
+    export_report(df, str(tmp_path / "r"), separator="|")
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*"))).splitlines()
+    assert [[c.strip() for c in line.split("|")] for line in lines] == [["a", "b", "c"], ["-" * 11, "-" * 30, "-" * 11], ["1", "", "2"], ["2", "x" * 40, ""]]
+    export_report(df.limit(0), str(tmp_path / "e"), width=20)
+    assert ["".join(p.read_text() for p in sorted((tmp_path / "e").glob("part-*")))][0].splitlines()[1] == "-" * 11 + "  " + "-" * 7
+
+
+def test_sql_sees_tables_views_and_statistics(spark, house):
+    house.append("fact_transaction", make(spark, "fact_transaction", payment(1, 200_000, date(2024, 1, 20))), ts())
+    house.publish()
+    views.publish(house, date(2024, 1, 31))
+    assert spark.sql("SELECT count(*) FROM vw_regulatory_large_transactions v JOIN dim_account a USING (account_id)").first()[0] == 1
+    house.publish(statistics=True)
+    try:
+        found = {r.col_name: r.data_type for r in spark.sql("DESCRIBE EXTENDED fact_transaction").collect()}
+        assert "1 rows" in found["Statistics"] and spark.table("fact_transaction").count() == 1
+    finally:
+        for name in TABLES:
+            spark.catalog.dropTempView(name)
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_expected_counts(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("TABLE_NAME|EXPECTED_ROW_COUNT|AS_OF_DATE|NOTES\nA|2|2024-01-31|x\nB|3|2024-01-31|Approximate\nC|4|2024-01-31|x\nD|1|2024-01-31|x\n")
+    counts = spark.createDataFrame([("A", 2), ("B", 5), ("C", 5)], "table_name string, row_count long")
+    got = validate.count_check(counts, read_expected(spark, str(tmp_path / "e.csv")))
+    assert {r.table_name: (r.status, r.difference) for r in got.collect()} == {"A": ("OK", 0), "B": ("APPROXIMATE", 2), "C": ("DIFFERENT", 1), "D": ("MISSING", None)}

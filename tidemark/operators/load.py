@@ -48,12 +48,26 @@ def enriched(t: Tables, load_date: date, batch_id: int, run_ts: Column) -> DataF
     return align(rows, TABLES["fact_transaction"], run_ts)
 
 
+def loaded(t: Tables, load_date: date, batch_id: int) -> DataFrame:
+    """The batch's rows of the fact. Only the months that the day's staged rows have are read, as many as the calendar gives."""
+    facts = t["fact_transaction"]
+    if "txn_month" in facts.columns:
+        month = F.coalesce(month_key(F.col("transaction_date")), F.lit(0)).alias("month")
+        facts = facts.where(F.coalesce("txn_month", F.lit(0)).isin([r.month for r in staged(t, load_date).select(month).distinct().collect()]))
+    return facts.where(F.col("etl_batch_id") == batch_id)
+
+
+def rejected(t: Tables, load_date: date, batch_id: int) -> DataFrame:
+    """The batch's rejects, read from the day's files only."""
+    return t["stg_transaction_errors"].where((F.col("load_date") == day(load_date)) & (F.col("batch_id") == batch_id))
+
+
 def reconciliation(t: Tables, load_date: date, batch_id: int) -> DataFrame:
     """One row: staged, loaded, rejected and dropped rows of a batch, and how many were loaded without a rate."""
-    loaded = t["fact_transaction"].where(F.col("etl_batch_id") == batch_id).agg(F.count("*").alias("loaded_rows"), F.count_if((F.col("is_international") == 1) & (F.col("exchange_rate") == 0)).alias("missing_fx_rows"))
-    wrong = t["stg_transaction_errors"].where(F.col("batch_id") == batch_id).agg(F.count("*").alias("error_rows"))
+    good = loaded(t, load_date, batch_id).agg(F.count("*").alias("loaded_rows"), F.count_if((F.col("is_international") == 1) & (F.col("exchange_rate") == 0)).alias("missing_fx_rows"))
+    wrong = rejected(t, load_date, batch_id).agg(F.count("*").alias("error_rows"))
     all_rows = staged(t, load_date).agg(F.count("*").alias("staged_rows"))
-    one = all_rows.crossJoin(loaded).crossJoin(wrong)  # three single rows
+    one = all_rows.crossJoin(good).crossJoin(wrong)  # three single rows
     return one.select(
         F.lit("DAILY_RECONCILIATION").alias("report_type"), day(load_date).alias("report_date"), F.lit(batch_id).cast("long").alias("batch_id"), "staged_rows", "loaded_rows", "error_rows",
         (F.col("staged_rows") - F.col("loaded_rows") - F.col("error_rows")).alias("dropped_rows"), "missing_fx_rows",

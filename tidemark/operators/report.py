@@ -27,13 +27,14 @@ def branch_summary(view: DataFrame, as_of: date) -> DataFrame:
     """Branch figures of the calendar month before as_of, by region and rank."""
     c = F.col
     rows = view.where(c("snapshot_month_key") == month_key(F.add_months(day(as_of), -1))).orderBy("region", "region_deposit_rank", "branch_id")
-    return rows.select(
-        f.text(c("branch_name"), 40).alias("Branch"),
-        f.text(c("region"), 15).alias("Region"),
-        f.text(c("month_label"), 20).alias("Month"),
-        f.integer(c("accounts_serviced"), 7).alias("Accounts"),
-        f.amount(c("total_deposits"), 12).alias("Total Deposits (NOK)"),
-        f.amount(c("total_fees_earned"), 9).alias("Fees Earned"),
-        f.integer(c("region_deposit_rank"), 2).alias("Rank"),
-        f.amount(c("pct_of_region_deposits"), 3).alias("% Region"),
-    )
+    shown = {
+        "Branch": (f.text(c("branch_name"), 40), 40),
+        "Region": (f.text(c("region"), 15), 15),
+        "Month": (f.text(c("month_label"), 20), 20),
+        "Accounts": (f.integer(c("accounts_serviced"), 7), 7),
+        "Total Deposits (NOK)": (f.amount(c("total_deposits"), 12), 18),
+        "Fees Earned": (f.amount(c("total_fees_earned"), 9), 14),
+        "Rank": (f.integer(c("region_deposit_rank"), 2), 2),
+        "% Region": (f.amount(c("pct_of_region_deposits"), 3), 6),
+    }
+    return rows.select(*[v.alias(n, metadata={"width": w}) for n, (v, w) in shown.items()])

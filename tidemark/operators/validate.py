@@ -66,3 +66,11 @@ def broken_invariants(t: Tables) -> DataFrame:
     last = s.select("account_key", F.last_day(F.add_months("snapshot_date", 1)).alias("snapshot_date"), F.col("closing_balance").alias("__before"))
     torn = s.join(last, ["account_key", "snapshot_date"]).where("opening_balance <> __before").select(F.lit("opening balance").alias("problem"), F.concat_ws("/", F.col("account_key"), F.col("snapshot_month_key")).alias("key"))
     return doubled.unionByName(torn)
+
+
+def count_check(counts: DataFrame, expected: DataFrame) -> DataFrame:
+    """Row counts against expected ones: OK, DIFFERENT, MISSING (no count), or APPROXIMATE where the note says so and the numbers differ."""
+    n, want = F.col("row_count"), F.col("expected_row_count")
+    rows = expected.join(counts, "table_name", "left")
+    status = F.when(n.isNull(), "MISSING").when(n == want, "OK").when(F.lower("notes").startswith("approximate"), "APPROXIMATE").otherwise("DIFFERENT")
+    return rows.select("table_name", n, want, (n - want).alias("difference"), status.alias("status"))

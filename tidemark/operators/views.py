@@ -51,6 +51,12 @@ def customer_360(t: Tables, as_of: date, lookback: int = 90) -> DataFrame:
     )
 
 
+def publish(t: Tables, as_of: date) -> None:
+    """The three views as temporary views for SQL, as of a day."""
+    for name, view in {"vw_customer_360": customer_360(t, as_of), "vw_regulatory_large_transactions": regulatory_large_transactions(t), "vw_branch_performance": branch_performance(t, as_of)}.items():
+        view.createOrReplaceTempView(name)
+
+
 def regulatory_large_transactions(t: Tables) -> DataFrame:
     """Reportable transactions, each once, in its newest batch."""
     base = F.col("base_currency_amount")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from enum import IntEnum
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import load, scd2, screens
-from ..sources.warehouse import Warehouse, export_report
+from ..sources.warehouse import Warehouse, export_csv, export_report
 
 
 class Exit(IntEnum):
@@ -35,14 +37,18 @@ class DailyResult:
     customers_inserted: int = 0
     customers_changed: int = 0
     reconciliation: DataFrame | None = None
+    balances: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def _log(w: Warehouse, batch_id: int, level: str, message: str, now: datetime) -> None:
     w.append("etl_log", w.spark.createDataFrame([("LOAD_DAILY", batch_id, level, message, now)], "procedure_name string, batch_id long, log_level string, log_message string, log_ts timestamp_ntz"))
 
 
-def load_transactions(w: Warehouse, load_date: date, batch_id: int, now: datetime) -> LoadResult:
-    """Store the day's rejects and enriched rows. An error is logged and returned as a code; the caller must look at it."""
+def load_transactions(w: Warehouse, load_date: date, batch_id: int, now: datetime, clock: Callable[[], float] = time.monotonic) -> LoadResult:
+    """Store the day's rejects and enriched rows and log how long it took. An error is logged and returned as a code; the caller must look at it.
+
+    ``now`` is the run's start; ``clock`` counts the seconds that pass."""
+    began = clock()
     run_ts, result = F.lit(now).cast("timestamp_ntz"), LoadResult()
     try:
         _log(w, batch_id, "INFO", f"Starting load for {load_date}", now)
@@ -50,12 +56,13 @@ def load_transactions(w: Warehouse, load_date: date, batch_id: int, now: datetim
         good = load.enriched(w, load_date, batch_id, run_ts)
         w.append("stg_transaction_errors", bad)
         w.append("fact_transaction", good, run_ts)
-        result.rows_rejected = w["stg_transaction_errors"].where(F.col("batch_id") == batch_id).count()
-        result.rows_inserted = w["fact_transaction"].where(F.col("etl_batch_id") == batch_id).count()
-        _log(w, batch_id, "INFO", f"Completed. Inserted: {result.rows_inserted}, Rejected: {result.rows_rejected}", now)
+        result.rows_rejected = load.rejected(w, load_date, batch_id).count()
+        result.rows_inserted = load.loaded(w, load_date, batch_id).count()
+        took = int(clock() - began)
+        _log(w, batch_id, "INFO", f"Completed. Inserted: {result.rows_inserted}, Rejected: {result.rows_rejected}, Duration: {took}", now + timedelta(seconds=took))
     except Exception as error:  # the contract is a code and a log row, not an exception
         result.return_code, result.message = 1, str(error)[:500]
-        _log(w, batch_id, "ERROR", result.message, now)
+        _log(w, batch_id, "ERROR", result.message, now + timedelta(seconds=int(clock() - began)))
     return result
 
 
@@ -70,23 +77,26 @@ def apply_customers(w: Warehouse, batch_id: int, now: datetime, null_safe: bool
     return n[0], n[1]
 
 
-def run(w: Warehouse, load_date: date, now: datetime, report: str | None = None) -> DailyResult:
+def run(w: Warehouse, load_date: date, now: datetime, report: str | None = None, clock: Callable[[], float] = time.monotonic) -> DailyResult:
+    """One day's run. report: a folder for the reconciliation and the balance checks; without it they are returned and not yet computed."""
+    began = clock()
     if not load.staging_check(w, load_date).first().row_count:
         return DailyResult(Exit.NO_DATA)
     batch_id = load.next_batch_id(w["etl_batch_control"]).first().batch_id
     out = DailyResult(Exit.OK, batch_id)
     try:
         out.customers_inserted, out.customers_changed = apply_customers(w, batch_id, now)
-        out.load = load_transactions(w, load_date, batch_id, now)
+        out.load = load_transactions(w, load_date, batch_id, now, clock)
         if out.load.return_code:
             raise RuntimeError(out.load.message)
-        for frame in screens.daily_balance_check(w, load_date).values():
-            frame.count()
+        out.balances = screens.daily_balance_check(w, load_date)
         out.reconciliation = load.reconciliation(w, load_date, batch_id)
         if report:
-            export_report(out.reconciliation, report)
+            export_report(out.reconciliation, f"{report}/reconciliation")
+            for name, frame in out.balances.items():
+                export_csv(frame, f"{report}/balance_{name}")
     except Exception:  # recorded as a failed batch
         out.code = Exit.ERROR
     status = "COMPLETED" if out.code == Exit.OK else "FAILED"
-    w.append("etl_batch_control", w.spark.createDataFrame([(batch_id, load_date, status, now, now)], "batch_id long, batch_date date, batch_status string, start_ts timestamp_ntz, end_ts timestamp_ntz"))
+    w.append("etl_batch_control", w.spark.createDataFrame([(batch_id, load_date, status, now, now + timedelta(seconds=int(clock() - began)))], "batch_id long, batch_date date, batch_status string, start_ts timestamp_ntz, end_ts timestamp_ntz"))
     return out

@@ -27,6 +27,7 @@ class Table:
     distinct_rows: bool = False
     identity: str | None = None
     month_of: str | None = None
+    by: str | None = None
     defaults: dict = field(default_factory=dict)
     ignore_case: tuple[str, ...] = ()
     comment: str = ""
@@ -83,8 +84,8 @@ TABLES = {
             comment="an account in a month",
         ),
         Table("dim_exchange_rates", "from_currency string, to_currency string, rate_date date, exchange_rate decimal(12,6)", ("from_currency", "to_currency", "rate_date"), comment="a currency's rate on a day"),
-        Table("stg_transactions", "load_date date, transaction_id bigint, transaction_date date, transaction_time string, account_id string, transaction_type string, transaction_subtype string, channel string, transaction_amount decimal(15,2), currency_code string, merchant_id string, merchant_name string, merchant_category string, counterparty_acct string, reference_number string, description_text string, posting_date date, value_date date", (), unique=False),
-        Table("stg_transaction_errors", "load_date date, transaction_id bigint, transaction_date date, transaction_time string, account_id string, transaction_type string, transaction_subtype string, channel string, transaction_amount decimal(15,2), currency_code string, merchant_id string, merchant_name string, merchant_category string, counterparty_acct string, reference_number string, description_text string, posting_date date, value_date date, error_reason string, batch_id bigint", (), unique=False),
+        Table("stg_transactions", "load_date date, transaction_id bigint, transaction_date date, transaction_time string, account_id string, transaction_type string, transaction_subtype string, channel string, transaction_amount decimal(15,2), currency_code string, merchant_id string, merchant_name string, merchant_category string, counterparty_acct string, reference_number string, description_text string, posting_date date, value_date date", (), unique=False, by="load_date"),
+        Table("stg_transaction_errors", "load_date date, transaction_id bigint, transaction_date date, transaction_time string, account_id string, transaction_type string, transaction_subtype string, channel string, transaction_amount decimal(15,2), currency_code string, merchant_id string, merchant_name string, merchant_category string, counterparty_acct string, reference_number string, description_text string, posting_date date, value_date date, error_reason string, batch_id bigint", (), unique=False, by="load_date"),
         Table("stg_customer", "customer_id int, first_name string, last_name string, date_of_birth date, gender string, marital_status string, email_address string, phone_number string, address_line_1 string, address_line_2 string, city string, state_province string, postal_code string, country_code string, customer_segment string, risk_score decimal(5,2), credit_rating string, kyc_status string", ("customer_id",)),
         Table("etl_log", "procedure_name string, batch_id bigint, log_level string, log_message string, log_ts timestamp_ntz", (), unique=False),
         Table("etl_batch_control", "batch_id bigint, batch_date date, batch_status string, start_ts timestamp_ntz, end_ts timestamp_ntz", (), unique=False),

@@ -22,10 +22,11 @@ def start(spark: SparkSession, folder: str, w: Warehouse, checkpoint: str, first
         batch_id, run_ts = first_batch + number, F.lit(clock()).cast("timestamp_ntz")
         # A batch that is delivered again finds what the first delivery wrote: each table in one append for all dates, or not at all.
         t = {n: w[n] for n in ("dim_account", "dim_customer", "dim_exchange_rates")} | {"stg_transactions": rows}
+        facts = w["fact_transaction"]
         dates = [r.load_date for r in rows.select("load_date").distinct().collect()]
-        if dates and w["stg_transaction_errors"].where(F.col("batch_id") == batch_id).isEmpty():
+        if dates and all(load.rejected(w, d, batch_id).isEmpty() for d in dates):
             w.append("stg_transaction_errors", reduce(DataFrame.unionByName, [load.rejects(t, d, batch_id) for d in dates]))
-        if dates and w["fact_transaction"].where(F.col("etl_batch_id") == batch_id).isEmpty():
+        if dates and all(load.loaded(t | {"fact_transaction": facts}, d, batch_id).isEmpty() for d in dates):
             w.append("fact_transaction", reduce(DataFrame.unionByName, [load.enriched(t, d, batch_id, run_ts) for d in dates]), run_ts)
 
     stream = spark.readStream.schema(TABLES["stg_transactions"].schema).parquet(folder)
