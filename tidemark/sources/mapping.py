@@ -12,9 +12,10 @@ LOAD_DATE = "2024-01-15"
 
 
 def definitions(dialect: str) -> dict[str, str]:
-    """Each table's SQL over the raw tables and earlier definitions. dialect: spark or duckdb; only the addition of days and text padding differ."""
+    """Each table's SQL over the raw tables and earlier definitions. dialect: spark or duckdb; only the addition of days, times of day and the rows of an array differ."""
     plus = (lambda d, n: f"date_add({d}, CAST({n} AS INT))") if dialect == "spark" else (lambda d, n: f"({d} + CAST({n} AS INT))")
     clock = (lambda c: f"date_format({c}, 'HH:mm:ss')") if dialect == "spark" else (lambda c: f"strftime({c}, '%H:%M:%S')")
+    each, both, once = ("explode", "array(1L, 2L)", "array(1L)") if dialect == "spark" else ("unnest", "[1::BIGINT, 2::BIGINT]", "[1::BIGINT]")
     money = "DECIMAL(15,2)"
     version = "TIMESTAMP '2018-01-01 00:00:00' AS effective_from, TIMESTAMP '9999-12-31 23:59:59' AS effective_to"
     if dialect == "spark":
@@ -50,7 +51,7 @@ def definitions(dialect: str) -> dict[str, str]:
                   UNION ALL
                   SELECT 1000000000 + event_id, ts, user_id * 2 + event_id % 2, user_id,
                     CASE event_type WHEN 'purchase' THEN 'DEBIT' WHEN 'signup' THEN 'CREDIT' WHEN 'click' THEN 'TRANSFER' WHEN 'view' THEN 'INTEREST' ELSE 'FEE' END, CAST(ROUND(value * 1000, 2) AS {money}) FROM events) u""",
-        "fact_transaction": """SELECT t.*, CAST(1 AS BIGINT) AS etl_batch_id FROM txn_once t UNION ALL SELECT t.*, CAST(2 AS BIGINT) AS etl_batch_id FROM txn_once t WHERE transaction_id % 20 = 0""",
+        "fact_transaction": f"""SELECT t.*, {each}(CASE WHEN transaction_id % 20 = 0 THEN {both} ELSE {once} END) AS etl_batch_id FROM txn_once t""",
         "fact_monthly_account_snapshot": f"""SELECT {'last_day(month_start)'} AS snapshot_date, CAST(YEAR(month_start) * 100 + MONTH(month_start) AS INT) AS snapshot_month_key, account_key, customer_key, branch_id, product_id, 'NOK' AS currency_code,
             CAST(SUM(credits - debits) OVER (PARTITION BY account_key ORDER BY month_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - credits + debits AS {money}) AS opening_balance,
             CAST(SUM(credits - debits) OVER (PARTITION BY account_key ORDER BY month_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {money}) AS closing_balance,
