@@ -268,6 +268,25 @@ def test_secrets_and_ledger(spark):
     assert secrets.digest(secrets.scan(docs(spark, "-----BEGIN RSA PRIVATE KEY-----"))[0]).first().spans == "pem:0:31"
 
 
+def test_stored_ledger_holds_each_blob_once(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    first = docs(spark, "token=abcdefghijkl", "token=abcdefghijkl", None, "clean", ids=[1, None, 3, 4])
+
+    def run(d, **version):
+        return collect(secrets.digest(secrets.scan_stored(d, path, **version)), "doc_id", "n_assign", "spans")
+
+    def entries():
+        return {(r.blob, r.rules) for r in spark.read.schema("blob string, rules string").parquet(path).collect()}
+
+    assert run(first.limit(0)) == [] and not entries()
+    want = sorted([(1, 1, "assign:0:18"), (None, 1, "assign:0:18"), (3, 0, ""), (4, 0, "")], key=repr)
+    assert run(first) == want and len(entries()) == 3
+    files = sorted(tmp_path.glob("ledger/*/*.parquet"))
+    assert run(first) == want and len(entries()) == 3 and sorted(tmp_path.glob("ledger/*/*.parquet")) == files
+    assert run(docs(spark, "clean", "0123456789abcdef", ids=[5, 6])) == [(5, 0, ""), (6, 0, "hex:0:16")] and len(entries()) == 4
+    assert run(first, version="2") == want and len(entries()) == 7
+
+
 def test_quality_rules(spark):
     junk = " ".join(f"word{i}###" for i in range(100))
     loud = "\n".join(" ".join(f"{w.upper()}!!" for w in prose(i, 20).split()) for i in range(6))

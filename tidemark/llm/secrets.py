@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, exists
 
 #: Kind, pattern, group whose length counts, least length, a literal that every match holds (or none). In order of rank.
 BASE = (
@@ -81,6 +81,18 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = RULES_
     return paths.join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("found", F.array().cast(_FOUND)).alias("found")), entries
 
 
+def scan_stored(docs: DataFrame, path: str, version: str = RULES_VERSION) -> DataFrame:
+    """Findings for each row of docs as of ``scan``, against the ledger kept as Parquet under path (a shared folder; made if missing), which gains the new entries.
+
+    Entries of a version are a partition, so older versions aren't read. A scan that fails before its entries are stored leaves the ledger as it was, and one
+    that fails later finds nothing unseen when run again. One scan at a time may write to a ledger."""
+    spark = docs.sparkSession
+    ledger = spark.read.schema(f"blob string, found {_FOUND}, rules string").parquet(path) if exists(spark, path) else None
+    found, entries = scan(docs, ledger, version)
+    entries.write.mode("append").partitionBy("rules").parquet(path)
+    return found
+
+
 def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
